@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard import JaccardJoin
+from .sstable import TokenShards
+from .tokenize import round_trip
+
+
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +24,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(spark, k=5, num=80, den=100).run(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+def op3_bpe_encoding_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op4_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = TokenShards(spark, vocabulary(), end_id=2)
+    return shards.read(shards.write(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_bpe_encoding_decoding, op4_token_binary_output)}
 SQL: dict[str, str] = {}
