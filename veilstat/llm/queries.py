@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard import JaccardJoin
+from .secrets import report
 from .sstable import TokenShards
 from .tokenize import round_trip
 
@@ -33,5 +34,9 @@ def op4_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.read(shards.write(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_bpe_encoding_decoding, op4_token_binary_output)}
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_bpe_encoding_decoding, op4_token_binary_output, op5_secret_scan)}
 SQL: dict[str, str] = {}
