@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import chat_digest
+from .decontaminate import Decontaminator
 from .jaccard import JaccardJoin
 from .secrets import report
 from .sstable import TokenShards
@@ -25,6 +27,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(spark, k=5, num=80, den=100).run(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    both = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_digest(spark, turns.unionByName(both))
+
+
 def op3_bpe_encoding_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -38,5 +47,28 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_bpe_encoding_decoding, op4_token_binary_output, op5_secret_scan)}
-SQL: dict[str, str] = {}
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Decontaminator(spark).leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_bpe_encoding_decoding, op4_token_binary_output, op5_secret_scan, op7_benchmark_decontamination)}
+SQL = {
+    # The escape adds one backslash to each control string; merged turns have a mark between them.
+    "op2_chat_formatting": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+        ), marked AS (
+            SELECT *, lag(role) OVER w IS DISTINCT FROM role AS fresh,
+                   length(regexp_replace(text, '([<\[])(\\*)(/?(?:s>|(?:INST|ROLE|NEXT)\]))', '\1\\\2\3', 'g')) AS shown,
+                   length(regexp_replace(role, '([<\[])(\\*)(/?(?:s>|(?:INST|ROLE|NEXT)\]))', '\1\\\2\3', 'g')) AS named
+            FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(shown + CASE WHEN NOT fresh THEN 6 WHEN role = 'user' THEN 20 WHEN role = 'assistant' THEN 7 ELSE 20 + named END) AS BIGINT) AS formatted_chars
+        FROM marked GROUP BY conv_id
+    """,
+}
