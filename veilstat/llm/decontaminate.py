@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import let
+
 #: Unit words, as they follow a number.
 UNITS = "% $ € £ mm cm m km in ft yd mi g kg mg t lb oz l ml s sec min h hr ms inch inches foot feet yard yards mile miles meter meters metre metres gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degrees".split()
 TOKEN = r"\p{N}[\p{N}.,]*|[\p{L}\p{M}]+|[$€£%]"
@@ -37,23 +39,22 @@ def _slot(raw: Column, x: Column, i: Column) -> Column:
 
 def windows(rows: DataFrame, key: str, sizes: list[int]) -> DataFrame:
     """key, at, size, h (the template's hash), and for each token its hash as written and its slot."""
-    raw = rows.select(F.col(key), _tokens(F.col("text")).alias("raw"))
-    kinds = raw.select(key, "raw", F.transform("raw", lambda x, i: _slot(F.col("raw"), x, i)).alias("slot"))
-    hashed = kinds.select(
-        key,
-        F.transform("raw", lambda x: F.xxhash64(F.lower(x))).alias("own"),
-        "slot",
-        F.transform("raw", lambda x, i: F.when(F.get("slot", i) > 0, F.get("slot", i).cast("long")).otherwise(F.xxhash64(F.lower(x)))).alias("form"),
-    )
-    parts = []
-    for n in sizes:
-        at = F.sequence(F.lit(1), F.size("form") - (n - 1))
-        made = F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(n), F.slice("form", i, n)).alias("h"), F.slice("own", i, n).alias("own"), F.slice("slot", i, n).alias("slot")))  # noqa: B023
-        parts.append(hashed.where(F.size("form") >= n).select(key, F.lit(n).alias("size"), F.inline(made)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    def made(raw: Column) -> Column:
+        return let(F.transform(raw, lambda x, i: F.struct(_slot(raw, x, i).alias("slot"), F.xxhash64(F.lower(x)).alias("own"))), lambda t: let(
+            F.struct(
+                t["own"].alias("own"),
+                t["slot"].alias("slot"),
+                F.transform(t, lambda x: F.when(x["slot"] > 0, x["slot"].cast("long")).otherwise(x["own"])).alias("form"),
+            ),
+            lambda p: F.concat(*[runs(p, n) for n in sizes]),
+        ))
+
+    def runs(p: Column, n: int) -> Column:
+        at = F.when(F.size(p["form"]) >= n, F.sequence(F.lit(1), F.size(p["form"]) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), F.xxhash64(F.lit(n), F.slice(p["form"], i, n)).alias("h"), F.slice(p["own"], i, n).alias("own"), F.slice(p["slot"], i, n).alias("slot")))
+
+    return rows.select(key, F.inline(let(_tokens(F.col("text")), made)))
 
 
 class Decontaminator:

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, let
 
 _KEY = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -57,10 +57,6 @@ def version(rules: tuple[Rule, ...]) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
-def _quoted(pattern: str) -> Column:
-    return F.lit(pattern)
-
-
 def found(text: Column, low: Column, rule: Rule, rank: int) -> Column:
     """Spans of a rule in a text; ``low`` is the text in lower case."""
     if rule.group == 0 and rule.least > 1:
@@ -70,31 +66,21 @@ def found(text: Column, low: Column, rule: Rule, rank: int) -> Column:
         pattern, keep = f"{head}{{{last - fixed},}}", None
     else:
         pattern, keep = rule.pattern, rule
-    match = F.regexp_extract_all(text, _quoted(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    size = F.size(match)
-    # The place of match k is the length of all pieces up to it and of all matches before it.
-    walk = F.aggregate(
-        F.sequence(F.lit(0), size - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda acc, k: F.struct(
-            (acc["at"] + F.length(F.get(pieces, k)) + F.length(F.get(match, k))).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(F.get(pieces, k))).alias("start"),
-                        F.lit(rank).alias("rank"),
-                        F.when(F.length(F.regexp_extract(F.get(match, k), keep.pattern, keep.group)) >= keep.least, rule.kind).alias("kind") if keep else F.lit(rule.kind).alias("kind"),
-                        (acc["at"] + F.length(F.get(pieces, k)) + F.length(F.get(match, k))).alias("end"),
-                    )
-                ),
-            ).cast(SPAN).alias("out"),
-        ),
-    )["out"]
-    spans = F.filter(F.when(size > 0, walk).otherwise(F.array().cast(SPAN)), lambda s: s["kind"].isNotNull())
-    test = marked(text, low, rule)
-    return F.when(test, spans).otherwise(F.array().cast(SPAN))
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"), F.split(text, pattern, -1).alias("pieces"))
+
+    def walk(p: Column) -> Column:
+        # The place of match k is the length of all pieces up to it and of all matches before it.
+        match, piece = lambda k: F.get(p["match"], k), lambda k: F.get(p["pieces"], k)
+        kind = lambda k: F.when(F.length(F.regexp_extract(match(k), keep.pattern, keep.group)) >= keep.least, rule.kind) if keep else F.lit(rule.kind)
+        span = lambda at, k: F.struct((at + F.length(piece(k))).alias("start"), F.lit(rank).alias("rank"), kind(k).alias("kind"), (at + F.length(piece(k)) + F.length(match(k))).alias("end"))
+        return F.aggregate(
+            F.when(F.size(p["match"]) > 0, F.sequence(F.lit(0), F.size(p["match"]) - 1)).otherwise(F.array().cast("array<int>")),
+            F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
+            lambda acc, k: F.struct((acc["at"] + F.length(piece(k)) + F.length(match(k))).alias("at"), F.concat(acc["out"], F.array(span(acc["at"], k))).cast(SPAN).alias("out")),
+        )["out"]
+
+    spans = F.filter(let(both, walk), lambda s: s["kind"].isNotNull())
+    return F.when(marked(text, low, rule), spans).otherwise(F.array().cast(SPAN))
 
 
 def marked(text: Column, low: Column, rule: Rule) -> Column:

@@ -10,8 +10,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row, however often a lambda in the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def shared_dir(spark: SparkSession) -> str:
