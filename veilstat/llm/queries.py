@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import langid, quality
 from .chat import chat_digest
 from .decontaminate import Decontaminator
+from .embeddings import EmbeddingJoin
 from .jaccard import JaccardJoin
 from .secrets import report
 from .sstable import TokenShards
@@ -51,7 +53,19 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return Decontaminator(spark).leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_bpe_encoding_decoding, op4_token_binary_output, op5_secret_scan, op7_benchmark_decontamination)}
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EmbeddingJoin(spark, least=0.98).run(table(spark, sf_dir, "embeddings"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_bpe_encoding_decoding, op4_token_binary_output, op5_secret_scan, op7_benchmark_decontamination, op8_quality_classifier, op9_embedding_near_dedup, op10_language_id)}
 SQL = {
     # The escape adds one backslash to each control string; merged turns have a mark between them.
     "op2_chat_formatting": r"""
@@ -71,4 +85,19 @@ SQL = {
                CAST(sum(shown + CASE WHEN NOT fresh THEN 6 WHEN role = 'user' THEN 20 WHEN role = 'assistant' THEN 7 ELSE 20 + named END) AS BIGINT) AS formatted_chars
         FROM marked GROUP BY conv_id
     """,
+    "op9_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x,
+                   embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+                   AND len(list_filter(embedding, lambda e: e <> 0)) > 0 AS ok FROM embeddings
+        ), link AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.ok AND b.ok
+            WHERE list_cosine_similarity(a.x, b.x) >= 0.98
+        ), reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+        )
+        SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, v.vec_id = c.c AS kept
+        FROM v JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) c ON c.a = v.vec_id
+        LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) n ON n.a = v.vec_id
+    """,
 }
