@@ -9,6 +9,7 @@ from .chat import chat_digest
 from .decontaminate import Decontaminator
 from .embeddings import EmbeddingJoin
 from .jaccard import JaccardJoin
+from .phrases import RepeatedPhrases
 from .secrets import report
 from .sstable import TokenShards
 from .tokenize import round_trip
@@ -49,6 +50,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RepeatedPhrases(spark, window=50).run(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Decontaminator(spark).leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,7 +70,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_bpe_encoding_decoding, op4_token_binary_output, op5_secret_scan, op7_benchmark_decontamination, op8_quality_classifier, op9_embedding_near_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_bpe_encoding_decoding, op4_token_binary_output, op5_secret_scan, op6_substring_dedup, op7_benchmark_decontamination, op8_quality_classifier, op9_embedding_near_dedup, op10_language_id)}
 SQL = {
     # The escape adds one backslash to each control string; merged turns have a mark between them.
     "op2_chat_formatting": r"""

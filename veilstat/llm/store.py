@@ -7,6 +7,7 @@ running the stages before it. The folder is the session's ``spark.checkpoint.dir
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -46,6 +47,9 @@ class Scratch:
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
+        # Lets Spark's cleaner take the shuffle files that only earlier tables needed.
+        gc.collect()
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
