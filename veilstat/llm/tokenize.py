@@ -54,8 +54,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the text decoded from them, in one pass."""
+def round_trip(docs: DataFrame, path: str, ids_too: bool = False) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the text decoded from them, in one pass; on request also the ids."""
 
     def run(batches):
         c = codec(path)
@@ -69,6 +69,9 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                     n.append(int(b - a))
                     one.append(hashlib.sha256(",".join(map(shown.__getitem__, own.tolist())).encode()).hexdigest())
                     two.append(hashlib.sha256(c.decode(own).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([doc_id.slice(row, stop - row), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                cols = {"doc_id": doc_id.slice(row, stop - row), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(one, pa.string()), "decoded_sha256": pa.array(two, pa.string())}
+                if ids_too:
+                    cols["ids"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype("int32")))
+                yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    return plain(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return plain(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids_too)
