@@ -1,18 +1,7 @@
 import pytest
-from pyspark.sql import SparkSession
 
 
-@pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    shared = tmp_path_factory.mktemp("shared")
-    session = (
-        SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "4g")
-        .config("spark.checkpoint.dir", str(shared))
-        .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
-    )
-    session.sparkContext.setLogLevel("ERROR")
-    return session
+@pytest.fixture(scope="session", autouse=True)
+def shared(spark, tmp_path_factory):
+    """The folder that a cluster's session would name."""
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
