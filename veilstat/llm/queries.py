@@ -11,6 +11,7 @@ from .embeddings import EmbeddingJoin
 from .jaccard import JaccardJoin
 from .phrases import RepeatedPhrases
 from .secrets import report
+from .sql import JACCARD, PHRASES, SECRETS
 from .sstable import TokenShards
 from .tokenize import round_trip
 
@@ -72,6 +73,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_bpe_encoding_decoding, op4_token_binary_output, op5_secret_scan, op6_substring_dedup, op7_benchmark_decontamination, op8_quality_classifier, op9_embedding_near_dedup, op10_language_id)}
 SQL = {
+    "op1_ngram_jaccard_join": JACCARD,
+    "op5_secret_scan": SECRETS,
+    "op6_substring_dedup": PHRASES,
     # The escape adds one backslash to each control string; merged turns have a mark between them.
     "op2_chat_formatting": r"""
         WITH turns AS (

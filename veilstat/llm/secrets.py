@@ -57,15 +57,18 @@ def version(rules: tuple[Rule, ...]) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
+def run_pattern(rule: Rule) -> tuple[str, bool]:
+    """The pattern to search, and whether its matches need no further test: a run is taken whole, so one that is too short can be left out."""
+    if rule.group or rule.least == 1:
+        return rule.pattern, rule.least == 1
+    fixed = len("AKIA") if rule.pattern.startswith("AKIA") else 0
+    return f"{rule.pattern[:-1]}{{{rule.least - fixed},}}", True
+
+
 def found(text: Column, low: Column, rule: Rule, rank: int) -> Column:
     """Spans of a rule in a text; ``low`` is the text in lower case."""
-    if rule.group == 0 and rule.least > 1:
-        # A run is taken whole, so a match that is too short can be left out of the pattern.
-        head, last = rule.pattern[:-1], rule.least
-        fixed = len(head) - len("[A-Z0-9]") if head.startswith("AKIA") else 0
-        pattern, keep = f"{head}{{{last - fixed},}}", None
-    else:
-        pattern, keep = rule.pattern, rule
+    pattern, whole = run_pattern(rule)
+    keep = None if whole else rule
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"), F.split(text, pattern, -1).alias("pieces"))
 
     def walk(p: Column) -> Column:
