@@ -12,6 +12,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir is not set; a cluster needs a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="veilstat-")
+    return _own_dir(spark.sparkContext.applicationId)
+
+
+@cache
+def _own_dir(application: str) -> str:
+    root = tempfile.mkdtemp(prefix=f"{application}-")
     atexit.register(shutil.rmtree, root, True)
-    spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
@@ -45,11 +50,12 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, name: str, df: DataFrame) -> DataFrame:
+    def save(self, name: str, df: DataFrame, large: bool = False) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
-        # Lets Spark's cleaner take the shuffle files that only earlier tables needed.
-        gc.collect()
-        self.spark._jvm.System.gc()
+        if large:
+            # Lets Spark's cleaner take the shuffle files that this table has made superfluous.
+            gc.collect()
+            self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
