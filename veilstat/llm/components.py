@@ -21,25 +21,33 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         moved = pairs.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         moved = pairs.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-    return moved.where("a > b").distinct()
+    return moved.where("a > b")
 
 
-def components(edges: DataFrame, scratch: Scratch, label: str = "cc", most: int = 60) -> DataFrame:
-    """(a, b) links in, (id, component) out for every id that has a link; component is the smallest reachable id.
+def stars(edges: DataFrame, scratch: Scratch, label: str = "cc", most: int = 60) -> DataFrame:
+    """(a, b) links in, (a, b) out: each id but the smallest of its component beside the smallest.
 
     Rows with a null or with a = b say nothing and are ignored. Each round is written to the shared folder; two rounds
-    are kept at a time. Rounds grow as the logarithm of the longest path.
+    are kept at a time. Rounds grow as the logarithm of the longest path; stars and a few new links take few.
     """
-    flat = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    flat = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     state, seen, kept = scratch.save(f"{label}0", flat), None, f"{label}0"
     for k in range(1, most + 1):
-        state = scratch.save(f"{label}{k}", _star(_star(state, True), False))
+        state = scratch.save(f"{label}{k}", _star(_star(state, True), False).distinct())
         scratch.drop(kept)
         kept = f"{label}{k}"
         mark = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
+        if not mark[0] or mark == seen:
+            return state
         seen = mark
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
+    raise RuntimeError(f"components did not settle in {most} rounds")
+
+
+def labels(state: DataFrame) -> DataFrame:
+    """(id, component) of every id in stars."""
     return state.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(state.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+
+def components(edges: DataFrame, scratch: Scratch, label: str = "cc") -> DataFrame:
+    """(a, b) links in, (id, component) out for every id that has a link; component is the smallest reachable id."""
+    return labels(stars(edges, scratch, label))

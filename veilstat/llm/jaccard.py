@@ -9,15 +9,17 @@ The distance is 1 - J; it is a metric on sets. Sets link when it is at most 1 -
    all shingles of the sets left.
 3. Voronoi regions. In a space where nearly all sets are at distance 1 from each other, a few global pivots would put
    everything on one boundary. So a pivot serves the sets that can be near it: those which share one of their
-   rarest (1 - t) * |A| + 1 shingles (linked sets always do). The pivot of such a list is its most central set: the one
-   whose shingles are most often shared. A set belongs to the region of every pivot it meets this way.
-4. Within a region, sets inside the radius link with the pivot and so are one component. The others are dealt into
-   rings one radius wide around the pivot; by the triangle inequality a linked pair is in one ring or in neighbouring
-   ones, so each ring gets the neighbouring rings as its boundary. Large rings get a pivot of their own and are dealt again.
-5. The regions left are compared in blocks of at most ``BLOCK`` sets against each other, all links and no other pairs
-   leaving a task.
+   rarest (1 - t) * |A| + 1 shingles (linked sets always do). The pivot of such a shingle is the first set that holds it at
+   all, so that sets of one kind meet at the same few pivots. A set belongs to the region of every pivot it meets this way.
+4. Sets inside the radius link with their pivot. With these links the components are known but for links between
+   two of them, so of a region only the sets outside its most frequent component, the core, are still in question. They are
+   dealt into rings one radius wide around the pivot; by the triangle inequality a linked pair is in one ring or in
+   neighbouring ones, so each ring gets the neighbouring rings as its boundary. Large rings get a pivot of their own and are dealt again.
+5. In the regions left, core sets are compared with all others in blocks of at most ``BLOCK`` sets; only links leave a task.
 6. Links between classes go to connected components.
 
+A link inside a component that is already found is not looked for.
+
 A region may hold a third of all sets: its rows are spread over tasks by set or by block, aggregates are partial, and
 no task gets more than two blocks. Shingles are compared by 64-bit hashes, classes by 128-bit digests.
 """
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import labels, stars
 from .store import Scratch
 from .text import U, mix, slices, words
 
@@ -98,24 +100,22 @@ def _full(k: int):
 
 
 def _compare(num: int, den: int):
-    """Links between the core sets of side 0 and all sets of a block pair."""
+    """Links of a block of core sets with a block of other sets."""
 
-    def run(key, table):
-        ids, core, side = (table.column(c).to_numpy() for c in ("id", "core", "side"))
+    def run(table):
+        ids, core = table.column("id").to_numpy(), table.column("core").to_pylist()
         sets = [x.values.to_numpy() for x in table.column("shingles")]
-        order = np.argsort([len(s) for s in sets], kind="stable")
-        sizes = np.array([len(sets[i]) for i in order])
-        a, b = [], []
-        for p, i in enumerate(order):
-            for q in range(p + 1, int(np.searchsorted(sizes * num, sizes[p] * den, "right"))):
-                j = order[q]
-                if ids[i] == ids[j] or not (core[i] or core[j]) or (side[i] == side[j] and key[1].as_py() != key[2].as_py()):
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if both * den >= num * (len(sets[i]) + len(sets[j]) - both):
-                    a.append(ids[i])
-                    b.append(ids[j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        sizes = np.array([len(s) for s in sets])
+        rest = np.array(sorted((i for i in range(len(ids)) if not core[i]), key=sizes.__getitem__), np.int64)
+        links = set()
+        for i in (i for i in range(len(ids)) if core[i]):
+            a, b = np.searchsorted(sizes[rest] * den, sizes[i] * num), np.searchsorted(sizes[rest] * num, sizes[i] * den, "right")
+            for j in rest[a:b]:
+                if ids[i] != ids[j]:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if both * den >= num * (sizes[i] + sizes[j] - both):
+                        links.add((int(max(ids[i], ids[j])), int(min(ids[i], ids[j]))))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return run
 
@@ -134,30 +134,34 @@ class JaccardJoin:
         self.tmp = Scratch(spark, "jaccard")
 
     def _distances(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """region, pivot, id, core with the sizes of intersection and union; pairs that can't be found are not dropped."""
+        """The pairs with the sizes of their intersection and union."""
         one = sets.select(F.col("id"), F.col("n"), F.col("shingles").alias("x"))
         two = sets.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("shingles").alias("y"))
         both = F.size(F.array_intersect("x", "y")).cast("long")
         return pairs.join(one, "id").join(two, "pivot").withColumn("both", both).withColumn("either", F.col("n") + F.col("pn") - F.col("both")).drop("x", "y", "pn")
 
-    def _rings(self, at: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Links with pivots, and the next regions: rings one radius wide, with the sets next to them as boundary.
+    def _linked(self, at: DataFrame) -> DataFrame:
+        return at.where(f"both * {self.den} >= {self.num} * either and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+
+    def _rings(self, at: DataFrame, joined: DataFrame, name: str) -> DataFrame:
+        """The next regions: rings one radius wide, their core, and the sets next to it.
 
-        A pair has to be compared if a core set is in it: in the higher ring if both are, else in the core set's ring.
+        Only links between different components matter now. So the core of a region is what lies outside its most frequent
+        component, and a pair has to be compared if a core set is in it: in the core set's ring.
         """
-        at = self.tmp.save(name, at)
-        links = at.where(f"both * {self.den} >= {self.num} * either and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-        rows = at.where("id <> pivot").withColumn("ring", F.expr(f"cast((either - both) * {self.den} div (either * {self.den - self.num}) as int)"))
-        rows = rows.withColumn("near", F.expr(f"both * {self.den} >= {self.num} * either"))
-        core = rows.where("core and not near").select("region", "pivot", "id", "n", "score", "ring", F.lit(True).alias("core"))
-        used = core.groupBy("region", "pivot", "ring").agg(F.count("*").alias("cores"))
-        boundary = rows.select("region", "pivot", "id", "n", "score", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)).alias("ring"), (F.col("core") & ~F.col("near")).alias("own"), F.col("ring").alias("home"))
-        boundary = boundary.where("not (own and ring <= home)").drop("own", "home").withColumn("core", F.lit(False)).join(used.drop("cores"), ["region", "pivot", "ring"], "left_semi")
-        regions = core.unionByName(boundary).select(F.xxhash64("region", "pivot", "ring").alias("region"), "id", "n", "score", "core")
-        return links, regions
-
-    def links(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(doc_id, n_shingles, set_key) per row, and links (a, b) between the smallest doc_ids of classes."""
+        ring = F.expr(f"cast((either - both) * {self.den} div (either * {self.den - self.num}) as int)")
+        rows = at.where("id <> pivot").withColumn("ring", ring).join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        rows = self.tmp.save(name, rows.select("region", "pivot", "id", "n", "score", "ring", "component"))
+        most = rows.groupBy("region", "component").agg(F.count("*").alias("m")).groupBy("region").agg(F.max(F.struct("m", "component")).alias("most"))
+        rows = rows.join(most, "region").withColumn("core", F.col("component") != F.col("most.component")).drop("most")
+        core = rows.where("core").select("region", "pivot", "id", "n", "score", "ring", "core")
+        used = core.select("region", "pivot", "ring").distinct()
+        near = rows.select("region", "pivot", "id", "n", "score", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)).alias("ring"), "core", F.col("ring").alias("home"))
+        near = near.where("not (core and ring <= home)").drop("home").withColumn("core", F.lit(False)).join(used, ["region", "pivot", "ring"], "left_semi")
+        return core.unionByName(near).select(F.xxhash64("region", "pivot", "ring").alias("region"), "id", "n", "score", "core")
+
+    def joined(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(doc_id, n_shingles, set_key) of every row, and the stars of the components of classes, which go by their smallest doc_id."""
         tmp, num, den = self.tmp, self.num, self.den
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         rows = tmp.save("rows", docs.mapInArrow(_sketch(self.k, SAMPLE), "doc_id long, n_shingles long, set_key binary, low array<long>"))
@@ -167,62 +171,73 @@ class JaccardJoin:
         low = rows.where("n_shingles > 0").select(key.alias("key"), F.explode("low").alias("h"))
         own = low.groupBy("h").agg(F.min("key").alias("key"), F.max("key").alias("last")).where("key = last").groupBy("key").agg(F.count("*").alias("own"))
         left = classes.withColumn("key", key).join(own, "key", "left").where(f"coalesce(own, 0) * {den} <= n * {den - num}").select("id", "set_key")
-        left = tmp.save("left", left)
-        sets = docs.join(left.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", "set_key").mapInArrow(_full(self.k), "id long, n long, shingles array<long>")
-        sets = tmp.save("sets", sets)
+        left = tmp.save("left", left, large=True)
+        narrow = tmp.save("narrow", rows.select("doc_id", "n_shingles", "set_key"))
+        tmp.drop("rows")
+        # What is left grows with the corpus, so it is never broadcast.
+        sets = docs.hint("merge").join(left.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", "set_key").mapInArrow(_full(self.k), "id long, n long, shingles array<long>")
+        sets = tmp.save("sets", sets, large=True)
         # Rarest shared shingles of the sets that can still have a link.
         shingle = sets.select("id", "n", F.explode("shingles").alias("h"))
-        often = shingle.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+        often = shingle.groupBy("h").agg(F.count("*").alias("df"), F.min("id").alias("pivot")).where("df > 1")
         rare = (
             shingle.join(often, "h")
             .groupBy("id", "n")
-            .agg(F.count("*").alias("shared"), F.avg("df").alias("score"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
+            .agg(F.count("*").alias("shared"), F.avg("df").alias("score"), F.sort_array(F.collect_list(F.struct("df", "h", "pivot"))).alias("hs"))
             .where(f"shared * {den} >= n * {num}")
-            .select("id", "n", "score", F.explode(F.expr(f"slice(hs, 1, cast(shared - ceil(n * {num} / {den}) + 1 as int)).h")).alias("h"))
+            .select("id", "score", F.explode(F.expr(f"slice(hs, 1, cast(shared - ceil(n * {num} / {den}) + 1 as int))")).alias("r"))
+            .select("id", "score", "r.h", "r.pivot")
         )
-        rare = tmp.save("rare", rare)
-        pivot = rare.groupBy("h").agg(F.max(F.struct("score", "id")).alias("p"), F.count("*").alias("m")).where("m > 1").select("h", F.col("p.id").alias("pivot"))
-        pairs = rare.join(pivot, "h").select("pivot", "id", "score").distinct().select(F.col("pivot").alias("region"), "pivot", "id", "score", F.lit(True).alias("core"))
-        found, regions = self._rings(self._distances(pairs, sets), "ring0")
-        regions = tmp.save("regions0", regions)
-        out, small = [found], []
-        for k in range(1, self.rounds + 1):
-            size = tmp.save(f"size{k}", regions.groupBy("region").agg(F.count("*").alias("m"), F.max(F.when(F.col("core"), F.struct("score", "id"))).alias("p")))
-            small.append(regions.join(size.where(f"m <= {self.block} or {k == self.rounds}").select("region"), "region", "left_semi"))
-            large = size.where(f"m > {self.block}").select("region", F.col("p.id").alias("pivot"))
-            if k == self.rounds or large.isEmpty():
+        rare = tmp.save("rare", rare, large=True)
+        lists = rare.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+        pairs = rare.join(lists, "h").select("pivot", "id", "score").distinct().select(F.col("pivot").alias("region"), "pivot", "id", "score")
+        pairs = tmp.save("pairs", pairs)
+        used = pairs.select("id").unionByName(pairs.select(F.col("pivot").alias("id"))).distinct()
+        sets = tmp.save("used", sets.join(used, "id"), large=True)
+        tmp.drop("sets", "rare")
+        rest, state, k = [], None, 0
+        while True:
+            at = tmp.save(f"at{k}", self._distances(pairs, sets))
+            state = self._joined(state, self._linked(at), f"pivots{k}")
+            regions = tmp.save(f"regions{k}", self._rings(at, labels(state), f"rings{k}"))
+            k += 1
+            size = regions.groupBy("region").agg(F.count("*").alias("m"), F.count_if("core").alias("c"), F.max(F.when(F.col("core"), F.struct("score", "id"))).alias("p"))
+            size = tmp.save(f"size{k}", size.withColumn("large", F.expr(f"m > {8 * self.block} and c > {self.block}")))
+            if k > self.rounds or size.where("large").isEmpty():
+                rest.append(regions)
                 break
-            pairs = regions.drop("n").join(large, "region")
-            found, regions = self._rings(self._distances(pairs, sets), f"ring{k}")
-            regions = tmp.save(f"regions{k}", regions)
-            out.append(found)
-        rest = small[0]
-        for more in small[1:]:
-            rest = rest.unionByName(more)
-        out.append(self._blocks(rest.drop("score"), sets))
-        links = out[0]
-        for more in out[1:]:
-            links = links.unionByName(more)
-        links = tmp.save("links", links.distinct())
-        return rows, links
+            rest.append(regions.join(size.where("not large").select("region"), "region", "left_semi"))
+            pairs = regions.drop("n", "core").join(size.where("large").select("region", F.col("p.id").alias("pivot")), "region")
+        last = rest[0]
+        for more in rest[1:]:
+            last = last.unionByName(more)
+        return narrow, self._joined(state, self._blocks(last.select("region", "id", "core"), sets), "blocks")
+
+    def _joined(self, state: DataFrame | None, found: DataFrame, name: str) -> DataFrame:
+        """The stars of the components with these links too."""
+        found = self.tmp.save(name, found)
+        if state is None:
+            return stars(found, self.tmp, f"{name}-")
+        return state if found.isEmpty() else stars(state.unionByName(found), self.tmp, f"{name}-")
 
     def _blocks(self, regions: DataFrame, sets: DataFrame) -> DataFrame:
-        """All links of each region with a core set: blocks by a hash of the set, every pair of blocks a group of its own."""
-        size = regions.groupBy("region").agg(F.count("*").alias("m"), F.max("core").alias("any")).where("any and m > 1").select("region", F.expr(f"cast(ceil(m / {self.block // 2}) as int)").alias("blocks"))
-        rows = regions.join(size, "region").withColumn("own", F.expr("cast(pmod(xxhash64(id, 7), blocks) as int)"))
-        # A pair of blocks without a core set has nothing to compare.
-        rows = rows.select("region", "id", "core", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        rows = rows.select("region", "id", "core", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-        live = rows.where("core").select("region", "i", "j").distinct()
-        rows = rows.join(live, ["region", "i", "j"], "left_semi").join(sets.select("id", "shingles"), "id")
+        """All links of core sets: blocks of core sets against blocks of all sets of the region, each pair a group of its own."""
+        half = self.block // 2
+        size = regions.groupBy("region").agg(F.count("*").alias("m"), F.count_if("core").alias("c")).where("c > 0 and m > 1")
+        size = size.select("region", F.expr(f"cast(ceil(c / {half}) as int)").alias("cores"), F.expr(f"cast(ceil(m / {half}) as int)").alias("alls"))
+        rows = regions.join(size, "region")
+        part = lambda n: F.expr(f"cast(pmod(xxhash64(id, 7), {n}) as int)")
+        one = rows.where("core").select("region", "id", part("cores").alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), F.lit(True).alias("core"))
+        two = rows.select("region", "id", F.explode(F.sequence(F.lit(0), F.col("cores") - 1)).alias("i"), part("alls").alias("j"), F.lit(False).alias("core"))
+        rows = one.unionByName(two).join(sets.select("id", "shingles"), "id")
         return rows.groupBy("region", "i", "j").applyInArrow(_compare(self.num, self.den), "a long, b long")
 
     def run(self, docs: DataFrame) -> DataFrame:
-        rows, links = self.links(docs)
-        joined = components(links, self.tmp)
+        rows, state = self.joined(docs)
+        joined = labels(state)
         classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"))
         named = classes.join(joined, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
         named = self.tmp.save("named", named)
-        self.tmp.drop("left", "sets", "rare")
+        self.tmp.drop("left", "pairs", "used")
         linked = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
         return linked.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
