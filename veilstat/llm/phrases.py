@@ -176,12 +176,12 @@ class RepeatedPhrases:
         made = tmp.save("seeds", docs.where("doc_id is not null").mapInArrow(_emit(self.window), "doc_id long, seeds array<long>"))
         rows = made.select("doc_id", F.explode("seeds").alias("h"))
         often = rows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
-        often = tmp.save("often", often)
-        hits = tmp.save("hits", rows.join(often, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits")))
+        often = tmp.save("often", often, large=True)
+        hits = tmp.save("hits", rows.join(often, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits")), large=True)
         tmp.drop("seeds", "often")
         # Hits grow with the corpus, so they are never broadcast.
         routed = docs.hint("merge").join(hits, "doc_id", "left").select("doc_id", "text", "hits")
-        out = tmp.save("located", routed.mapInArrow(_locate(self.window), "row long, doc_id long, n_words long, sha string, body binary, at array<int>, h array<long>"))
+        out = tmp.save("located", routed.mapInArrow(_locate(self.window), "row long, doc_id long, n_words long, sha string, body binary, at array<int>, h array<long>"), large=True)
         tmp.drop("hits")
         return out
 
@@ -191,7 +191,7 @@ class RepeatedPhrases:
         windows = located.where("body is not null and doc_id is not null").select("row", "doc_id", F.explode(F.arrays_zip("at", "h")).alias("w")).select("row", "doc_id", "w.at", "w.h")
         owner = tmp.save("owner", windows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first"))
         gone = windows.join(owner, "h").where("first < doc_id").groupBy("row").agg(F.collect_list("at").alias("gone"))
-        gone = tmp.save("gone", gone)
+        gone = tmp.save("gone", gone, large=True)
         cut = tmp.save("cut", located.select("row", "body").join(gone, "row").mapInArrow(_cut(self.window), "row long, n_removed long, kept_sha256 string, kept string"))
         tmp.drop("owner", "gone")
         out = located.select("row", "doc_id", "n_words", "sha").join(cut, "row", "left")
