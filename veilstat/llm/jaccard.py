@@ -11,7 +11,7 @@ The distance is 1 - J; it is a metric on sets. Sets link when it is at most 1 -
    everything on one boundary. So a pivot serves the sets that can be near it: those which share one of their
    rarest (1 - t) * |A| + 1 shingles (linked sets always do). The pivot of such a shingle is the first set that holds it at
    all, so that sets of one kind meet at the same few pivots. A set belongs to the region of every pivot it meets this way.
-4. Sets inside the radius link with their pivot. With these links the components are known but for links between
+4. Sets inside the radius link with their pivot, the first one they meet before any other. With these links the components are known but for links between
    two of them, so of a region only the sets outside its most frequent component, the core, are still in question. They are
    dealt into rings one radius wide around the pivot; by the triangle inequality a linked pair is in one ring or in
    neighbouring ones, so each ring gets the neighbouring rings as its boundary. Large rings get a pivot of their own and are dealt again.
@@ -195,7 +195,13 @@ class JaccardJoin:
         used = pairs.select("id").unionByName(pairs.select(F.col("pivot").alias("id"))).distinct()
         sets = tmp.save("used", sets.join(used, "id"), large=True)
         tmp.drop("sets", "rare")
-        rest, state, k = [], None, 0
+        # Most sets link with the first pivot they meet. Only regions that hold several components after that need all distances.
+        first = pairs.where("pivot <> id").groupBy("id").agg(F.min("pivot").alias("pivot"))
+        state = self._joined(None, self._linked(self._distances(first, sets)), "first")
+        named = pairs.select("region", "id").unionByName(pairs.select("region", F.col("pivot").alias("id"))).distinct().join(labels(state), "id", "left")
+        mixed = named.groupBy("region").agg(F.min(F.coalesce("component", "id")).alias("low"), F.max(F.coalesce("component", "id")).alias("high")).where("low < high").select("region")
+        pairs = tmp.save("mixed", pairs.join(mixed, "region"))
+        rest, k = [], 0
         while True:
             at = tmp.save(f"at{k}", self._distances(pairs, sets))
             state = self._joined(state, self._linked(at), f"pivots{k}")
