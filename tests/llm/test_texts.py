@@ -242,6 +242,16 @@ def test_decontamination(spark):
     assert d.leaks(table(spark, []), bench).count() == 0 and d.leaks(table(spark, rows), bench.where("item_id > 9")).count() == 0
 
 
+def test_decontamination_whatever_the_case(spark):
+    texts = [QUESTION, BENCH[1][1]]
+    rows = [(10 * k + j, f(t)) for k, t in enumerate(texts) for j, f in enumerate((str.upper, str.lower, str.title, str.swapcase))]
+    items = [(0, QUESTION), (1, BENCH[1][1]), (2, QUESTION.upper())]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in Decontaminator(spark).leaks(table(spark, rows + [(99, " ".join(prose(3, 500)).upper())]), bench).collect()}
+    assert set(got) == {(10 * k + j, i) for k in range(2) for j in range(4) for i in ((0, 2) if k == 0 else (1,))}
+    assert all(r.n_verbatim == r.n_windows == r.n_item_windows for r in got.values())
+
+
 def test_quality_classifier(spark):
     rows = [(k, " ".join(prose(k, 60)) if k % 3 else " ".join(f"{w}%%%" for w in prose(k, 60))) for k in range(300)]
     odd = [(900, None), (901, ""), (902, "x " * 50_000), (None, "w1"), (903, "w1"), (903, "w1")]

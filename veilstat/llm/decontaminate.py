@@ -2,12 +2,13 @@
 
 Texts become word tokens; numbers, capitalised words and units after a number become typed slots, all else is in lower case. A
 window is ``width`` consecutive tokens (an item with fewer is one window of its own length). Windows of documents meet
-windows of benchmark items by the hash of their template. Meetings of one document, item and offset are an
-alignment; its slots must be consistent: a value in the item stands for one value in the document, and the reverse. So a
-question with new numbers and names is caught, and a chance meeting of templates is not.
+windows of benchmark items by the hash of their template, and, whatever the case of either, by the hash of their words in lower
+case. Meetings of one document, item, kind and offset are an alignment; slots met by template must be consistent: a value in
+the item stands for one value in the document, and the reverse. So a question with new numbers and names is caught, and a chance
+meeting of templates is not.
 
-An alignment is a leak if ``cover`` of the item's windows meet, and either its slots are consistent or that many windows meet
-word for word. Windows with fewer than ``literal`` words that are no slots say little and are left out; an item that has
+An alignment is a leak if ``cover`` of the item's windows meet, word for word or by templates with consistent slots.
+Windows with fewer than ``literal`` words that are no slots in the item say little and are left out; an item that has
 no others keeps them and must meet word for word.
 
 The benchmark's windows are broadcast when they are counted to be at most ``small``; else both sides are shuffled by the hash.
@@ -32,13 +33,15 @@ def _tokens(text: Column) -> Column:
 
 def _slot(raw: Column, x: Column, i: Column) -> Column:
     """1 number, 2 name, 3 unit, 0 none."""
-    first, low = F.substring(x, 1, 1), F.lower(x)
-    number = first.rlike(r"^\p{N}")
-    return F.when(first != F.lower(first), 2).when(number, 1).when(low.isin(*UNITS) & (i > 0) & F.coalesce(F.substring(F.get(raw, i - 1), 1, 1).rlike(r"^\p{N}"), F.lit(False)), 3).otherwise(0)
+    first = F.substring(x, 1, 1)
+    unit = F.lower(x).isin(*UNITS) & (i > 0) & F.coalesce(F.substring(F.get(raw, i - 1), 1, 1).rlike(r"^\p{N}"), F.lit(False))
+    # Most words start with a to z, which needs no pattern.
+    return F.when(first.between("a", "z"), F.when(unit, 3).otherwise(0)).when(first != F.lower(first), 2).when(first.rlike(r"^\p{N}"), 1).when(unit, 3).otherwise(0)
 
 
-def windows(rows: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-    """key, at, size, h (the template's hash), and for each token its hash as written and its slot."""
+def windows(rows: DataFrame, key: str, sizes: list[int], item: bool = False) -> DataFrame:
+    """key, at, size, h, and for each token its hash in lower case and its slot: windows by their words (literal), of which only those
+    of an item carry tokens, and windows by their templates. The two kinds never share a hash."""
 
     def made(raw: Column) -> Column:
         return let(F.transform(raw, lambda x, i: F.struct(_slot(raw, x, i).alias("slot"), F.xxhash64(F.lower(x)).alias("own"))), lambda t: let(
@@ -47,12 +50,14 @@ def windows(rows: DataFrame, key: str, sizes: list[int]) -> DataFrame:
                 t["slot"].alias("slot"),
                 F.transform(t, lambda x: F.when(x["slot"] > 0, x["slot"].cast("long")).otherwise(x["own"])).alias("form"),
             ),
-            lambda p: F.concat(*[runs(p, n) for n in sizes]),
+            lambda p: F.concat(*[runs(p, n, literal) for n in sizes for literal in (True, False)]),
         ))
 
-    def runs(p: Column, n: int) -> Column:
+    def runs(p: Column, n: int, literal: bool) -> Column:
         at = F.when(F.size(p["form"]) >= n, F.sequence(F.lit(1), F.size(p["form"]) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), F.xxhash64(F.lit(n), F.slice(p["form"], i, n)).alias("h"), F.slice(p["own"], i, n).alias("own"), F.slice(p["slot"], i, n).alias("slot")))
+        h = lambda i: F.xxhash64(F.lit(-n), F.slice(p["own"], i, n)) if literal else F.xxhash64(F.lit(n), F.slice(p["form"], i, n))
+        part = lambda name, kind, i: F.slice(p[name], i, n) if item or not literal else F.lit(None).cast(f"array<{kind}>")
+        return F.transform(at, lambda i: F.struct(F.lit(literal).alias("literal"), i.alias("at"), F.lit(n).alias("size"), h(i).alias("h"), part("own", "bigint", i).alias("own"), part("slot", "int", i).alias("slot")))
 
     return rows.select(key, F.inline(let(_tokens(F.col("text")), made)))
 
@@ -75,15 +80,15 @@ class Decontaminator:
         if not sizes:
             sizes = [self.width]
         sized = items.withColumn("n", length)
-        parts = [windows(sized.where(F.col("n") == n), "item_id", [n]) for n in sizes]
+        parts = [windows(sized.where(F.col("n") == n), "item_id", [n], item=True) for n in sizes]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         words = F.size(F.filter("slot", lambda s: s == 0))
         out = out.withColumn("rich", (words >= F.least(F.lit(self.literal), F.col("size"))))
-        total = out.groupBy("item_id").agg(F.countDistinct(F.when(F.col("rich"), F.col("at"))).alias("rich_n"), F.countDistinct("at").alias("all_n"))
-        out = out.join(total, "item_id").where("rich or rich_n = 0")
-        return out.select("item_id", "h", F.col("at").alias("item_at"), F.col("own").alias("item_own"), F.when(F.col("rich_n") > 0, F.col("rich_n")).otherwise(F.col("all_n")).alias("of"), (F.col("rich_n") == 0).alias("exact_only")).dropDuplicates(["item_id", "item_at", "h"]), sizes
+        total = out.groupBy("item_id", "literal").agg(F.countDistinct(F.when(F.col("rich"), F.col("at"))).alias("rich_n"), F.countDistinct("at").alias("all_n"))
+        out = out.join(total, ["item_id", "literal"]).where("rich or (literal and rich_n = 0)")
+        return out.select("item_id", "literal", "h", F.col("at").alias("item_at"), F.col("own").alias("item_own"), F.when(F.col("rich_n") > 0, F.col("rich_n")).otherwise(F.col("all_n")).alias("of")).dropDuplicates(["item_id", "item_at", "h"]), sizes
 
     def leaks(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         """doc_id, item_id, windows that meet, word for word or not, of how many, and whether the slots are consistent."""
@@ -91,24 +96,22 @@ class Decontaminator:
         if index.count() <= self.small:
             index = F.broadcast(index)
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        hits = windows(texts, "doc_id", sizes).join(index, "h")
+        hits = windows(texts, "doc_id", sizes).drop("size").join(index.drop("literal"), "h")
         pair = F.filter(F.transform("slot", lambda s, i: F.struct(s.alias("slot"), F.get("item_own", i).alias("a"), F.get("own", i).alias("b"))), lambda p: p["slot"] > 0)
         aligned = (
-            hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "of", "exact_only", (F.col("own") == F.col("item_own")).alias("same"), pair.alias("slots"))
-            .groupBy("doc_id", "item_id", "shift")
+            hits.select("doc_id", "item_id", "literal", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "of", (F.col("literal") | (F.col("own") == F.col("item_own"))).alias("same"), pair.alias("slots"))
+            .groupBy("doc_id", "item_id", "literal", "shift")
             .agg(
                 F.countDistinct("item_at").alias("met"),
                 F.countDistinct(F.when(F.col("same"), F.col("item_at"))).alias("verbatim"),
                 F.first("of").alias("of"),
-                F.first("exact_only").alias("exact_only"),
                 F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
             )
         )
         sided = lambda side: F.size(F.array_distinct(F.transform("slots", lambda p: F.struct(p["slot"], p[side]))))
         n = F.size("slots")
         judged = aligned.withColumn("consistent", (sided("a") == n) & (sided("b") == n))
-        need = F.col("of") * self.cover
-        leak = judged.where((F.col("verbatim") >= need) | (F.col("consistent") & ~F.col("exact_only") & (F.col("met") >= need)))
+        leak = judged.where((F.col("literal") | F.col("consistent")) & (F.col("met") >= F.col("of") * self.cover))
         best = F.max(F.struct("verbatim", "met", "of", "consistent")).alias("best")
         return leak.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.met").alias("n_windows"), F.col("best.verbatim").alias("n_verbatim"), F.col("best.of").alias("n_item_windows"), F.col("best.consistent").alias("consistent"))
 
