@@ -252,6 +252,15 @@ def test_decontamination_whatever_the_case(spark):
     assert all(r.n_verbatim == r.n_windows == r.n_item_windows for r in got.values())
 
 
+def test_decontamination_of_edited_copies(spark):
+    w = QUESTION.split()
+    edits = [w[:11] + ["zzq"] + w[11:], w[:11] + w[12:], w[:11] + ["zzq"] + w[12:], w]
+    rows = [(k, "well " + " ".join(x)) for k, x in enumerate(edits)]
+    rows += [(4, QUESTION.replace("Boston", "New York")), (5, QUESTION.replace("Boston", "New York", 1).replace("Chicago", "New York")), (6, " ".join(w[:11])), (7, " ".join(w[12:] + w[:11]))]
+    bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    assert sorted(r.doc_id for r in Decontaminator(spark).leaks(table(spark, rows), bench).collect()) == [0, 1, 2, 3, 4]
+
+
 def test_quality_classifier(spark):
     rows = [(k, " ".join(prose(k, 60)) if k % 3 else " ".join(f"{w}%%%" for w in prose(k, 60))) for k in range(300)]
     odd = [(900, None), (901, ""), (902, "x " * 50_000), (None, "w1"), (903, "w1"), (903, "w1")]

@@ -3,11 +3,13 @@
 Texts become word tokens; numbers, capitalised words and units after a number become typed slots, all else is in lower case. A
 window is ``width`` consecutive tokens (an item with fewer is one window of its own length). Windows of documents meet
 windows of benchmark items by the hash of their template, and, whatever the case of either, by the hash of their words in lower
-case. Meetings of one document, item, kind and offset are an alignment; slots met by template must be consistent: a value in
-the item stands for one value in the document, and the reverse. So a question with new numbers and names is caught, and a chance
-meeting of templates is not.
+case. Adjacent slots of one type are one place of a template, so a name of two words can stand for a name of one.
+Meetings of one document, item and kind at one offset, or at offsets at most ``near`` from the next, are an alignment; slots met by template
+must be consistent: a value in the item stands for one value in the document, and the reverse. So a question with new numbers and names
+is caught, and a chance meeting of templates is not. Offsets that are inconsistent alone are left out.
 
 An alignment is a leak if ``cover`` of the item's windows meet, word for word or by templates with consistent slots.
+Windows between two that meet, broken by an edit of at most ``near`` words put in, left out or replaced, count as met for this.
 Windows with fewer than ``literal`` words that are no slots in the item say little and are left out; an item that has
 no others keeps them and must meet word for word.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .store import let
 
@@ -39,29 +42,68 @@ def _slot(raw: Column, x: Column, i: Column) -> Column:
     return F.when(first.between("a", "z"), F.when(unit, 3).otherwise(0)).when(first != F.lower(first), 2).when(first.rlike(r"^\p{N}"), 1).when(unit, 3).otherwise(0)
 
 
-def windows(rows: DataFrame, key: str, sizes: list[int], item: bool = False) -> DataFrame:
-    """key, at, size, h, and for each token its hash in lower case and its slot: windows by their words (literal), of which only those
-    of an item carry tokens, and windows by their templates. The two kinds never share a hash."""
+def windows(rows: DataFrame, key: str, sizes: list[int], typed_sizes: list[int], item: bool = False) -> DataFrame:
+    """key, literal, at, size, h, and what the hash leaves open: windows of words by their words (literal), and windows of places by
+    their template. ``own`` has the window's words as hashes in lower case, ``slot`` the slot of each word or place, ``starts`` the first
+    word of each place and one beyond the last. Literal windows of documents carry none of these. The two kinds never share a hash."""
 
     def made(raw: Column) -> Column:
-        return let(F.transform(raw, lambda x, i: F.struct(_slot(raw, x, i).alias("slot"), F.xxhash64(F.lower(x)).alias("own"))), lambda t: let(
+        return let(F.transform(raw, lambda x, i: F.struct(_slot(raw, x, i).alias("slot"), F.xxhash64(F.lower(x)).alias("own"), i.alias("i"))), lambda t: let(
             F.struct(
                 t["own"].alias("own"),
                 t["slot"].alias("slot"),
-                F.transform(t, lambda x: F.when(x["slot"] > 0, x["slot"].cast("long")).otherwise(x["own"])).alias("form"),
+                _places(t).alias("places"),
+            ),
+            lambda p: let(
+                F.struct(
+                    p["own"].alias("own"),
+                    p["slot"].alias("slot"),
+                    p["places"]["slot"].alias("place_slot"),
+                    F.transform(p["places"], lambda x: F.when(x["slot"] > 0, x["slot"].cast("long")).otherwise(x["own"])).alias("form"),
+                    F.concat(p["places"]["i"], F.array(F.size(p["own"]))).alias("starts"),
+                ),
+                lambda q: F.concat(*[literal(q, n) for n in sizes], *[typed(q, n) for n in typed_sizes]),
             ),
-            lambda p: F.concat(*[runs(p, n, literal) for n in sizes for literal in (True, False)]),
         ))
 
-    def runs(p: Column, n: int, literal: bool) -> Column:
-        at = F.when(F.size(p["form"]) >= n, F.sequence(F.lit(1), F.size(p["form"]) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        h = lambda i: F.xxhash64(F.lit(-n), F.slice(p["own"], i, n)) if literal else F.xxhash64(F.lit(n), F.slice(p["form"], i, n))
-        part = lambda name, kind, i: F.slice(p[name], i, n) if item or not literal else F.lit(None).cast(f"array<{kind}>")
-        return F.transform(at, lambda i: F.struct(F.lit(literal).alias("literal"), i.alias("at"), F.lit(n).alias("size"), h(i).alias("h"), part("own", "bigint", i).alias("own"), part("slot", "int", i).alias("slot")))
+    def each(x: Column, n: int) -> Column:
+        return F.when(F.size(x) >= n, F.sequence(F.lit(1), F.size(x) - (n - 1))).otherwise(F.array().cast("array<int>"))
+
+    def window(kind: bool, i: Column, n: int, h: Column, own: Column | None, slot: Column | None, starts: Column | None) -> Column:
+        none = lambda x, kind: (F.lit(None) if x is None else x).cast(f"array<{kind}>")
+        return F.struct(F.lit(kind).alias("literal"), i.alias("at"), F.lit(n).alias("size"), h.alias("h"), none(own, "bigint").alias("own"), none(slot, "int").alias("slot"), none(starts, "int").alias("starts"))
+
+    def literal(q: Column, n: int) -> Column:
+        return F.transform(each(q["own"], n), lambda i: window(True, i, n, F.xxhash64(F.lit(-n), F.slice(q["own"], i, n)), None, F.slice(q["slot"], i, n) if item else None, None))
+
+    def typed(q: Column, n: int) -> Column:
+        start = lambda i: F.get(q["starts"], i - 1)
+        return F.transform(each(q["form"], n), lambda i: window(
+            False, i, n, F.xxhash64(F.lit(n), F.slice(q["form"], i, n)), F.slice(q["own"], start(i) + 1, start(i + n) - start(i)), F.slice(q["place_slot"], i, n) if item else None, F.slice(q["starts"], i, n + 1)
+        ))
 
     return rows.select(key, F.inline(let(_tokens(F.col("text")), made)))
 
 
+def _places(t: Column) -> Column:
+    """The words (slot, own, i) that start a place: each word that is no slot, and the first of adjacent slots of one type."""
+    return F.filter(t, lambda x, i: (x["slot"] == 0) | (i == 0) | (F.get(t["slot"], i - 1) != x["slot"]))
+
+
+def _filled() -> Column:
+    """slot, a, b: what fills each slot in the item and in the document; word by word where both have as many words."""
+    part = lambda own, starts, k: F.slice(own, F.get(starts, k) - F.get(starts, F.lit(0)) + 1, F.get(starts, k + 1) - F.get(starts, k))
+
+    def pairs(s: Column, k: Column) -> Column:
+        return let(F.struct(part(F.col("item_own"), F.col("item_starts"), k).alias("a"), part(F.col("own"), F.col("starts"), k).alias("b")), lambda p: (
+            F.when(s == 0, F.array().cast("array<struct<slot:int,a:bigint,b:bigint>>"))
+            .when(F.size(p["a"]) == F.size(p["b"]), F.transform(p["a"], lambda x, j: F.struct(s.alias("slot"), x.alias("a"), F.get(p["b"], j).alias("b"))))
+            .otherwise(F.array(F.struct(s.alias("slot"), F.xxhash64(p["a"]).alias("a"), F.xxhash64(p["b"]).alias("b"))))
+        ))
+
+    return F.flatten(F.transform("slot", pairs))
+
+
 class Decontaminator:
     """Leaks of a benchmark (item_id, text) in documents (doc_id, text).
 
@@ -70,17 +112,16 @@ class Decontaminator:
     columns are ignored; with an empty table there are no leaks.
     """
 
-    def __init__(self, spark: SparkSession, width: int = 8, cover: float = 0.6, literal: int = 4, small: int = 1_000_000):
-        self.spark, self.width, self.cover, self.literal, self.small = spark, width, cover, literal, small
+    def __init__(self, spark: SparkSession, width: int = 8, cover: float = 0.6, literal: int = 4, small: int = 1_000_000, near: int = 4):
+        self.spark, self.width, self.cover, self.literal, self.small, self.near = spark, width, cover, literal, small, near
 
-    def index(self, benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
+    def index(self, benchmark: DataFrame) -> tuple[DataFrame, list[int], list[int]]:
         items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
-        length = F.least(F.size(_tokens(F.col("text"))), F.lit(self.width))
-        sizes = sorted(r[0] for r in items.select(length.alias("n")).where("n > 0").distinct().collect())
-        if not sizes:
-            sizes = [self.width]
-        sized = items.withColumn("n", length)
-        parts = [windows(sized.where(F.col("n") == n), "item_id", [n], item=True) for n in sizes]
+        raw = _tokens(F.col("text"))
+        slots = F.transform(raw, lambda x, i: F.struct(_slot(raw, x, i).alias("slot")))
+        sized = items.withColumn("n", F.least(F.size(raw), F.lit(self.width))).withColumn("m", F.least(F.size(let(slots, _places)), F.lit(self.width)))
+        sizes = sorted((r.n, r.m) for r in sized.select("n", "m").where("n > 0").distinct().collect()) or [(self.width, self.width)]
+        parts = [windows(sized.where((F.col("n") == n) & (F.col("m") == m)), "item_id", [n], [m], item=True) for n, m in sizes]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -88,32 +129,65 @@ class Decontaminator:
         out = out.withColumn("rich", (words >= F.least(F.lit(self.literal), F.col("size"))))
         total = out.groupBy("item_id", "literal").agg(F.countDistinct(F.when(F.col("rich"), F.col("at"))).alias("rich_n"), F.countDistinct("at").alias("all_n"))
         out = out.join(total, ["item_id", "literal"]).where("rich or (literal and rich_n = 0)")
-        return out.select("item_id", "literal", "h", F.col("at").alias("item_at"), F.col("own").alias("item_own"), F.when(F.col("rich_n") > 0, F.col("rich_n")).otherwise(F.col("all_n")).alias("of")).dropDuplicates(["item_id", "item_at", "h"]), sizes
+        out = out.withColumn("nth", F.dense_rank().over(Window.partitionBy("item_id", "literal").orderBy("at")))
+        of = F.when(F.col("rich_n") > 0, F.col("rich_n")).otherwise(F.col("all_n")).alias("of")
+        out = out.select("item_id", "literal", "h", F.col("at").alias("item_at"), "nth", "slot", F.col("own").alias("item_own"), F.col("starts").alias("item_starts"), of).dropDuplicates(["item_id", "item_at", "h"])
+        return out, sorted({n for n, _ in sizes}), sorted({m for _, m in sizes})
 
     def leaks(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         """doc_id, item_id, windows that meet, word for word or not, of how many, and whether the slots are consistent."""
-        index, sizes = self.index(benchmark)
+        index, sizes, typed_sizes = self.index(benchmark)
         if index.count() <= self.small:
             index = F.broadcast(index)
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        hits = windows(texts, "doc_id", sizes).drop("size").join(index.drop("literal"), "h")
-        pair = F.filter(F.transform("slot", lambda s, i: F.struct(s.alias("slot"), F.get("item_own", i).alias("a"), F.get("own", i).alias("b"))), lambda p: p["slot"] > 0)
-        aligned = (
-            hits.select("doc_id", "item_id", "literal", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "of", (F.col("literal") | (F.col("own") == F.col("item_own"))).alias("same"), pair.alias("slots"))
+        hits = windows(texts, "doc_id", sizes, typed_sizes).drop("size", "slot", "literal").join(index, "h")
+        met = F.struct(F.col("item_at").alias("at"), "nth")
+        one = (
+            hits.select("doc_id", "item_id", "literal", (F.col("at") - F.col("item_at")).alias("shift"), "of", met.alias("met"), (F.col("literal") | (F.col("own") == F.col("item_own"))).alias("same"), _filled().alias("slots"))
             .groupBy("doc_id", "item_id", "literal", "shift")
             .agg(
-                F.countDistinct("item_at").alias("met"),
-                F.countDistinct(F.when(F.col("same"), F.col("item_at"))).alias("verbatim"),
+                F.collect_set("met").alias("met"),
+                F.collect_set(F.when(F.col("same"), F.col("met"))).alias("same"),
                 F.first("of").alias("of"),
                 F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
             )
         )
+        one = one.where(self._consistent())
+        # Neighbouring offsets are one alignment: a word more or less in the middle moves what follows.
+        ordered = Window.partitionBy("doc_id", "item_id", "literal").orderBy("shift")
+        far = F.coalesce(F.col("shift") - F.lag("shift").over(ordered) > self.near, F.lit(True))
+        joined = (
+            one.withColumn("far", far.cast("int"))
+            .withColumn("group", F.sum("far").over(ordered))
+            .groupBy("doc_id", "item_id", "literal", "group")
+            .agg(
+                F.first("of").alias("of"),
+                F.collect_list(F.struct("met", "same")).alias("alone"),
+                F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"),
+                F.array_distinct(F.flatten(F.collect_list("same"))).alias("same"),
+                F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"),
+            )
+        )
+        # Each offset alone and all together, from one pass over the documents.
+        both = F.when(self._consistent(), F.concat("alone", F.array(F.struct("met", "same")))).otherwise(F.col("alone"))
+        judged = joined.select("doc_id", "item_id", "of", F.inline(both))
+        leak = judged.where(F.size("met") + self._broken() >= F.col("of") * self.cover)
+        best = F.max(F.struct(F.size("same").alias("verbatim"), F.size("met").alias("met"), "of")).alias("best")
+        return leak.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.met").cast("long").alias("n_windows"), F.col("best.verbatim").cast("long").alias("n_verbatim"), F.col("best.of").alias("n_item_windows"), F.lit(True).alias("consistent"))
+
+    @staticmethod
+    def _consistent() -> Column:
         sided = lambda side: F.size(F.array_distinct(F.transform("slots", lambda p: F.struct(p["slot"], p[side]))))
-        n = F.size("slots")
-        judged = aligned.withColumn("consistent", (sided("a") == n) & (sided("b") == n))
-        leak = judged.where((F.col("literal") | F.col("consistent")) & (F.col("met") >= F.col("of") * self.cover))
-        best = F.max(F.struct("verbatim", "met", "of", "consistent")).alias("best")
-        return leak.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.met").alias("n_windows"), F.col("best.verbatim").alias("n_verbatim"), F.col("best.of").alias("n_item_windows"), F.col("best.consistent").alias("consistent"))
+        return (sided("a") == F.size("slots")) & (sided("b") == F.size("slots"))
+
+    def _broken(self) -> Column:
+        """How many of the item's windows lie between two that meet and are broken by an edit of at most ``near`` words."""
+
+        def between(met: Column) -> Column:
+            gap = F.transform(met, lambda x, i: F.when((i > 0) & (x["at"] - F.get(met, i - 1)["at"] < self.width + self.near + 1), x["nth"] - F.get(met, i - 1)["nth"] - 1).otherwise(0))
+            return F.aggregate(gap, F.lit(0), lambda a, x: a + x)
+
+        return let(F.sort_array("met"), between)
 
     def clean(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         """``docs`` without the documents that leak an item; all columns stay."""
