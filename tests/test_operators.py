@@ -101,3 +101,10 @@ def test_bootstrap(spark):
     assert len(got) == 4 and all(3.8 < x < 5.2 for x in got)
     error = mechanisms.bootstrap_error(got, 4, 1.0, 0.0)
     assert error["sd"] == pytest.approx(error["naive"]) == pytest.approx(error["conservative"])
+
+
+def test_bootstrap_draws_from_all_rows(spark):
+    df = spark.range(400).select(F.col("id").cast("double").alias("x"))
+    for n in (300, 500):
+        with pytest.raises(ValueError, match="400 rows"):
+            mechanisms.bootstrap(df, aggregate.declared_mean(F.col("x"), n), n, 0.0, 1.0, 2, Uniforms.silent(), seed=3)

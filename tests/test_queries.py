@@ -35,3 +35,8 @@ def test_same_as_sql(spark, duck, name):
 
 def test_flagship(spark):
     assert queries.flagship(spark, DATA).count() == 1
+
+
+def test_mean_bootstrap_is_near_the_mean(spark):
+    mean = spark.read.parquet(f"{DATA}/part.parquet").selectExpr("avg(p_size)").first()[0]
+    assert all(abs(r.release - mean) < 8 for r in queries.mean_bootstrap(spark, DATA).collect())

@@ -85,6 +85,13 @@ def numbered(df: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(places), "__part").withColumn("__row", F.col("__first") + F.col("__at")).drop("__part", "__id", "__at", "__first")
 
 
+def check_rows(rows: DataFrame, n: int) -> None:
+    """Raises where n is not the number of rows: with fewer some could not be drawn, with more some draws would find no row."""
+    found = rows.count()
+    if found != n:
+        raise ValueError(f"n is {n}, but there are {found} rows to draw from")
+
+
 def drawn_rows(df: DataFrame, n: int, seed: int) -> DataFrame:
     """Rows of a numbered frame with ``__times``: how often n draws with replacement, seeded, take each. Draws are made where they are counted."""
     draws = df.sparkSession.range(n).select(F.floor(F.rand(seed) * n).cast("long").alias("__row"))
@@ -115,6 +122,7 @@ def bootstrap(df: DataFrame, piece: Column, n: int, sens: float, epsilon: float,
 
     rows = numbered(df).persist()
     try:
+        check_rows(rows, n)
         out = []
         for k in range(n_boot):
             drawn = drawn_rows(rows, n, secrets.randbits(31) if seed is None else seed + k)

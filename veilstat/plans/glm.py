@@ -159,6 +159,7 @@ class GlmSpec:
             if not self.n_boot:
                 got = self.fit(own, self.epsilon, source)
                 return {"coefficients": dict(zip(self.names, got)), "epsilon": self.epsilon, "accuracy": self.accuracy} | ({"variance": got[-1]} if self.objective == "ols" else {})
+            mechanisms.check_rows(own, self.n)
             draws = []
             for k in range(self.n_boot):
                 drawn = mechanisms.drawn_rows(own, self.n, (seed if seed is not None else 0) + k)

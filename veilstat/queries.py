@@ -229,8 +229,9 @@ def mean_release_secure(spark, sf):
 
 @register()
 def mean_bootstrap(spark, sf):
+    """Over all rows at each scale; the size of the table is public here."""
     df = table(spark, sf, "part")
-    spec = specs.MeanSpec("mechanismBootstrap", "integer", "p_size", 2000, (1, 50), epsilon=1.0, n_boot=5)
+    spec = specs.MeanSpec("mechanismBootstrap", "integer", "p_size", df.count(), (1, 50), epsilon=1.0, n_boot=5)
     got = spec.release(df, nz.Uniforms(seed=3), seed=3)
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(got["release"])], "replica int, release double")
 
