@@ -221,3 +221,17 @@ def test_batches_stop_when_the_budget_is_spent(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert got == [0.4, 0.4]
+
+
+def test_glm_searches_all_steps_for_every_objective(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(glm, "nelder_mead", lambda f, start, most=500: asked.append(most) or start)
+    df = spark.createDataFrame([(0.5, 1.0), (0.2, 0.0)], "x double, z double")
+    for objective in ("logit", "probit", "poisson", "ols"):
+        glm.GlmSpec("z ~ x", objective, 2, [(0, 1), (0, 1)], epsilon=1.0).release(df, QUIET)
+    assert asked == [500] * 4
+
+
+def test_search_that_is_cut_short_warns():
+    with pytest.warns(UserWarning, match="after 5 steps"):
+        glm.nelder_mead(lambda t: float(t @ t), np.ones(3), most=5)

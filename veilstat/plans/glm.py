@@ -9,6 +9,7 @@ so is not itself private).
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -47,7 +48,7 @@ def loss_terms(objective: str, y: Column, z: Column) -> Column:
 
 
 def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, step: float = 0.25, tolerance: float = 1e-8, most: int = 500) -> np.ndarray:
-    """A local minimum by moving a simplex: reflect, stretch, contract or shrink."""
+    """A local minimum by moving a simplex: reflect, stretch, contract or shrink. Warns where ``most`` steps do not reach the tolerance."""
     points = [np.asarray(start, float)] + [start + step * np.eye(len(start))[i] for i in range(len(start))]
     values = [f(p) for p in points]
     for _ in range(most):
@@ -72,6 +73,8 @@ def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, step: float
             else:
                 points = [points[0]] + [points[0] + 0.5 * (p - points[0]) for p in points[1:]]
                 values = [values[0]] + [f(p) for p in points[1:]]
+    else:
+        warnings.warn(f"the search stopped after {most} steps, before its tolerance was reached", stacklevel=2)
     return points[int(np.argmin(values))]
 
 
@@ -148,7 +151,7 @@ class GlmSpec:
                 return -(b @ theta / self.n + like / self.n) + (ridge / 2 * float(theta @ theta) / self.n if self.objective == "logit" else 0.0)
 
             start = np.zeros(dim)
-        theta = nelder_mead(objective, start, most=400 if self.objective == "ols" else 60)
+        theta = nelder_mead(objective, start)
         out = [t * (y_scale if self.objective == "ols" else 1.0) / (1.0 if self.intercept and i == 0 else scale) for i, t in enumerate(theta[: len(xs)])]
         return out + ([math.exp(theta[-1]) * y_scale**2] if self.objective == "ols" else [])
 
