@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilstat.llm import quality, langid
-from veilstat.llm.bpe import Codec, LibraryEncoder, TrieEncoder, Vocabulary
+from veilstat.llm.bpe import SLICE, Codec, LibraryEncoder, TrieEncoder, Vocabulary
 from veilstat.llm.components import components
 from veilstat.llm.decontaminate import Decontaminator
 from veilstat.llm.jaccard import JaccardJoin
@@ -122,6 +122,27 @@ def test_pieces_and_codec_match_the_library():
     assert codec.decode(np.array([v.ids[b"\xc3"]])) == lib.decode([v.ids[b"\xc3"]])
 
 
+def test_long_texts_in_bounded_memory():
+    import tracemalloc
+
+    from tokenizers import Tokenizer
+
+    path, rnd = vocabulary(), random.Random(8)
+    word = ["the", "Straße", "日本", "é", "<|endoftext|>", "don't", "=====", "1234", "\n\n", " ", "\u3000", "\x85"]
+    text = " ".join(rnd.choice(word) for _ in range(200_000))
+    lib, codec = Tokenizer.from_file(path), Codec(Vocabulary(path), LibraryEncoder(path))
+    (_, _, ids, at), = codec.encode(pa.array([text]))
+    assert len(text.encode()) > 2 * SLICE and at.tolist() == [0, len(ids)] and ids.tolist() == lib.encode(text, add_special_tokens=False).ids
+    long = pa.array([" ".join(f"w{k % 5000}" for k in range(1_700_000))])
+    langs = langid.Model([f"l{k}" for k in range(100)], np.ones((langid.BUCKETS, 100), np.float32), np.zeros(100), 1.0, 0.0)
+    scorer = quality.Model(quality.index_vectors(quality.WORDS, 1), quality.index_vectors(quality.SHAPES, 2))
+    tracemalloc.start()
+    for run in (codec.encode, langs.logits, scorer.features):
+        tracemalloc.reset_peak()
+        assert len(list(run(long))) == 1 and tracemalloc.get_traced_memory()[1] < 400e6, run
+    tracemalloc.stop()
+
+
 def test_bpe_tables(spark):
     docs = table(spark, corpus())
     ids = encode(docs, vocabulary())

@@ -17,9 +17,9 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-from .text import U, mix, powers, slices
+from .text import SPACE, U, mix, powers, slices
 
-SLICE = 4_000_000
+SLICE = 500_000
 _BASE = 0xB5026F5AA96619E9
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 
@@ -108,7 +108,7 @@ class Vocabulary:
 class TrieEncoder:
     """Encodes distinct pieces together; see the module's text. ``most`` bounds the memory of known pairs."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 2_000_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 500_000):
         self.v, self.most = vocabulary, most
         self.longest = max(map(len, vocabulary.ids))
         self.beside: dict[int, bool] = {}
@@ -178,7 +178,7 @@ class LibraryEncoder:
 class Codec:
     """Ids of whole texts, and texts of ids. ``most`` bounds the number of pieces remembered between slices."""
 
-    def __init__(self, vocabulary: Vocabulary, encode: Callable[[list[bytes]], Iterable[list[int]]], most: int = 1_000_000):
+    def __init__(self, vocabulary: Vocabulary, encode: Callable[[list[bytes]], Iterable[list[int]]], most: int = 500_000):
         self.v, self.encode_pieces, self.most = vocabulary, encode, most
         self.size = np.array([len(b) for b in vocabulary.bytes])
         self.at = np.concatenate([[0], np.cumsum(self.size)])
@@ -211,48 +211,75 @@ class Codec:
                 k = raw.find(word, end)
         return (np.unique(np.concatenate([offsets, cuts])).astype(np.int64), at) if cuts else (offsets, at)
 
+    def _cuts(self, data: np.ndarray) -> Iterator[np.ndarray]:
+        """Parts of a long text that encode as they do in the whole: each begins with white space after a character that is none.
+
+        No piece runs over such a place, and nothing before it decides what follows. A text without such places stays whole.
+        """
+        white, a = SPACE[data], 0
+        if any(SPACE[list(word.encode())].any() for word in self.v.special):
+            a = len(data)
+            yield data
+        while a < len(data):
+            b = len(data)
+            for t in range(a + SLICE, len(data), SLICE):
+                own = np.flatnonzero(white[t - SLICE + 1 : t] & ~white[t - SLICE : t - 1]) + t - SLICE + 1
+                good = next((p for p in own[::-1].tolist() if not data[max(a, p - 4) : p].tobytes().decode("utf-8", "ignore")[-1:].isspace()), None)
+                if good is not None:
+                    b = good
+                    break
+            yield data[a:b]
+            a = b
+
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(first row, row after the last, ids, offsets of the ids of each text) by slices."""
+        """(first row, row after the last, ids, offsets of the ids of each text) by slices; a longer text goes in parts."""
         for row, stop, data, offsets in slices(texts, SLICE):
-            edges, special = self._edges(data, offsets)
-            place = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-            start = piece_starts(cp, place[edges])
-            for k in special:
-                a = place[k]
-                inside = np.searchsorted(start, [a + 1, place[edges[np.searchsorted(edges, k) + 1]]])
-                start = np.delete(start, np.arange(*inside))
-            n = len(cp)
-            end = np.append(start[1:], n)
-            up, down = powers(_BASE, n)
-            total = np.concatenate([[U(0)], np.cumsum((cp.astype(U) + U(1)) * U(0x9FB21C651E98DF25) * up[:n])])
-            key = mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
-            if special:
-                key[np.searchsorted(start, [place[k] for k in special])] = np.array(list(special.values()), U)
-            if len(self.keys) > self.most:
-                self._forget()
-            seen, one, where = np.unique(key, return_index=True, return_inverse=True)
-            slot = np.searchsorted(self.keys, seen)
-            known = np.zeros(len(seen), bool)
-            if len(self.keys):
-                known = self.keys[np.minimum(slot, len(self.keys) - 1)] == seen
-            new = np.flatnonzero(~known)
-            if len(new):
-                at = np.flatnonzero((data & 0xC0) != 0x80)
-                at = np.append(at, len(data))
-                raw = data.tobytes()
-                pieces = [raw[at[start[i]] : at[end[i]]] for i in one[new]]
-                ids = list(special.values())
-                plain = [i for i, k in enumerate(seen[new]) if int(k) not in ids] if special else range(len(new))
-                found: list[list[int]] = [[int(k)] for k in seen[new]] if special else [[]] * len(new)
-                for i, tokens in zip(plain, self.encode_pieces([pieces[i] for i in plain]), strict=True):
-                    found[i] = tokens
-                self._learn(seen[new], found)
-            slot = np.searchsorted(self.keys, seen)[where]
-            count = self.count[slot]
-            upto = np.concatenate([[0], np.cumsum(count)])
-            take = np.repeat(self.first[slot] - upto[:-1], count) + np.arange(upto[-1])
-            yield row, stop, self.pool[take], upto[np.searchsorted(start, place[offsets])]
+            if len(data) <= SLICE:
+                yield row, stop, *self._ids(data, offsets)
+            else:
+                ids = np.concatenate([self._ids(part, np.array([0, len(part)]))[0] for part in self._cuts(data)])
+                yield row, stop, ids, np.array([0, len(ids)])
+
+    def _ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edges, special = self._edges(data, offsets)
+        place = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        start = piece_starts(cp, place[edges])
+        for k in special:
+            a = place[k]
+            inside = np.searchsorted(start, [a + 1, place[edges[np.searchsorted(edges, k) + 1]]])
+            start = np.delete(start, np.arange(*inside))
+        n = len(cp)
+        end = np.append(start[1:], n)
+        up, down = powers(_BASE, n)
+        total = np.concatenate([[U(0)], np.cumsum((cp.astype(U) + U(1)) * U(0x9FB21C651E98DF25) * up[:n])])
+        key = mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+        if special:
+            key[np.searchsorted(start, [place[k] for k in special])] = np.array(list(special.values()), U)
+        if len(self.keys) > self.most:
+            self._forget()
+        seen, one, where = np.unique(key, return_index=True, return_inverse=True)
+        slot = np.searchsorted(self.keys, seen)
+        known = np.zeros(len(seen), bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(slot, len(self.keys) - 1)] == seen
+        new = np.flatnonzero(~known)
+        if len(new):
+            at = np.flatnonzero((data & 0xC0) != 0x80)
+            at = np.append(at, len(data))
+            raw = data.tobytes()
+            pieces = [raw[at[start[i]] : at[end[i]]] for i in one[new]]
+            ids = list(special.values())
+            plain = [i for i, k in enumerate(seen[new]) if int(k) not in ids] if special else range(len(new))
+            found: list[list[int]] = [[int(k)] for k in seen[new]] if special else [[]] * len(new)
+            for i, tokens in zip(plain, self.encode_pieces([pieces[i] for i in plain]), strict=True):
+                found[i] = tokens
+            self._learn(seen[new], found)
+        slot = np.searchsorted(self.keys, seen)[where]
+        count = self.count[slot]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        take = np.repeat(self.first[slot] - upto[:-1], count) + np.arange(upto[-1])
+        return self.pool[take], upto[np.searchsorted(start, place[offsets])]
 
     def bytes_of(self, ids: np.ndarray) -> bytes:
         size = self.size[ids]

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sample import Adam, bounded, remainder, softmax, temperature
-from .text import slices
+from .sample import Adam, distinct_texts, remainder, softmax, temperature
+from .text import run_sums, slices
 
 BUCKETS = 1 << 13
 SIZES = (3, 4)
@@ -43,12 +43,30 @@ def subwords(data: np.ndarray, k: int) -> np.ndarray:
 
 
 def counts(texts: pa.Array):
-    """Share of each bucket among a text's subwords, for one text after another."""
+    """The buckets among a text's subwords and the share of each, for one text after another."""
     for row, stop, data, at in slices(texts):
         own = [subwords(data, k) for k in SIZES]
         for d in range(stop - row):
             x = sum(np.bincount(s[at[d] : max(at[d], at[d + 1] - k + 1)], minlength=BUCKETS) for s, k in zip(own, SIZES))
-            yield (x / max(1, x.sum())).astype(np.float32)
+            some = np.flatnonzero(x)
+            yield some.astype(np.uint16), (x[some] / max(1, x.sum())).astype(np.float32)
+
+
+class Sparse:
+    """Rows of shares by bucket; ``rows[part]`` gives some of them as a dense matrix."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, part: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(part), BUCKETS), np.float32)
+        for i, k in enumerate(part):
+            bucket, share = self.rows[k]
+            out[i, bucket] = share
+        return out
 
 
 @dataclass
@@ -65,19 +83,19 @@ class Model:
             total = np.zeros((stop - row, len(self.langs)))
             n = np.zeros(stop - row)
             for k in SIZES:
-                value = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.table[subwords(data, k)], axis=0, dtype=np.float64)])
-                end = np.minimum(np.maximum(at[:-1], at[1:] - k + 1), len(value) - 1)
-                begin = np.minimum(at[:-1], len(value) - 1)
-                total += value[end] - value[begin]
+                bucket = subwords(data, k)
+                end = np.minimum(np.maximum(at[:-1], at[1:] - k + 1), len(bucket))
+                begin = np.minimum(at[:-1], len(bucket))
+                total += run_sums(self.table, bucket, begin, end)
                 n += np.maximum(end - begin, 0)
-            letters = np.concatenate([[0], np.cumsum(_ALPHA[data])])
+            letters = np.concatenate([[0], np.cumsum(_ALPHA[data], dtype=np.int32)])
             letter = letters[at[1:]] > letters[at[:-1]]
             for d in np.flatnonzero(~letter & (at[1:] > at[:-1])):
                 letter[d] = any(c.isalpha() for c in data[at[d] : at[d + 1]].tobytes().decode())
             yield row, stop, total / np.maximum(n, 1)[:, None] + self.bias, letter
 
 
-def fit(x: np.ndarray, label: np.ndarray, langs: list[str], dim: int = 16, epochs: int = 60, right: float = 0.99, seed: int = 7) -> Model:
+def fit(x: Sparse, label: np.ndarray, langs: list[str], dim: int = 16, epochs: int = 60, right: float = 0.99, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(x))
     held, own = order[: len(x) // 5], order[len(x) // 5 :]
@@ -92,7 +110,7 @@ def fit(x: np.ndarray, label: np.ndarray, langs: list[str], dim: int = 16, epoch
             g /= len(part)
             sgd.step([x[part].T @ (g @ out.T), h.T @ g, g.sum(axis=0)])
     table = emb @ out
-    logits = x[held].astype(np.float64) @ table + bias
+    logits = np.concatenate([np.zeros((0, len(langs))), *(x[part].astype(np.float64) @ table + bias for part in np.array_split(held, max(1, len(held) // 256)))])
     heat = temperature(logits, label[held])
     reject = 0.0
     if len(held):
@@ -111,17 +129,17 @@ def train(docs: DataFrame, most: int = 3000) -> Model | None:
     def run(batches):
         for batch in batches:
             rows = list(counts(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([r.tobytes() for r in rows], pa.binary())], ["lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), *(pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in range(2))], ["lang", "bucket", "share"])
 
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
-    chosen = bounded(rows.select("doc_id", "lang"), most).distinct()
-    rows = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).mapInArrow(run, "lang string, x binary").collect()
-    rows = sorted(rows, key=lambda r: (r.lang, bytes(r.x)))[: 2 * most]
+    rows = distinct_texts(rows, most).select("lang", "text").mapInArrow(run, "lang string, bucket binary, share binary").collect()
+    rows = sorted(rows, key=lambda r: (r.lang, bytes(r.bucket), bytes(r.share)))
     if not rows:
         return None
     langs = sorted({r.lang for r in rows})
     at = {lang: i for i, lang in enumerate(langs)}
-    return fit(np.stack([np.frombuffer(bytes(r.x), np.float32) for r in rows]), np.array([at[r.lang] for r in rows]), langs)
+    x = Sparse([(np.frombuffer(bytes(r.bucket), np.uint16), np.frombuffer(bytes(r.share), np.float32)) for r in rows])
+    return fit(x, np.array([at[r.lang] for r in rows]), langs)
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFrame:

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sample import Adam, bounded, remainder, temperature
-from .text import U, mix, slices, words
+from .sample import Adam, bounded, distinct_texts, remainder, temperature
+from .text import U, mix, run_sums, slices, words
 
 WORDS, SHAPES, DIM = 1 << 14, 1 << 11, 32
 
@@ -37,7 +37,7 @@ def index_vectors(n: int, seed: int) -> np.ndarray:
 def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word bucket and shape bucket of each word, and where each text's words begin."""
     w = words(data, at, lower=True)
-    upper = np.concatenate([[0], np.cumsum((data >= 65) & (data < 91))])
+    upper = np.concatenate([[0], np.cumsum((data >= 65) & (data < 91), dtype=np.int32)])
     n = w.end - w.start
     caps = upper[w.end] - upper[w.start]
     mark = lambda b: ~(((b | 32) >= 97) & ((b | 32) < 123) | (b >= 128))
@@ -60,8 +60,7 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def pooled(vectors: np.ndarray, index: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Mean of vectors[index] over each text; zero for a text without words."""
-    total = np.concatenate([np.zeros((1, vectors.shape[1])), np.cumsum(vectors[index], axis=0, dtype=np.float64)])
-    return (total[first[1:]] - total[first[:-1]]) / np.maximum(np.diff(first), 1)[:, None]
+    return run_sums(vectors, index, first[:-1], first[1:]) / np.maximum(np.diff(first), 1)[:, None]
 
 
 @dataclass
@@ -118,7 +117,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 6
     """A model from at most ``most`` rows of labels (doc_id, quality 0 or 1), all allowed for learning, and their texts."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     chosen = F.broadcast(bounded(marks.groupBy("doc_id").agg(F.min("quality").alias("quality")), most))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    rows = distinct_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id"), most)
     model = Model(index_vectors(WORDS, 1), index_vectors(SHAPES, 2))
     shared = spark.sparkContext.broadcast(model)
 
@@ -150,7 +149,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 6
             for row, stop, x in vectors.value.features(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, stop - row), batch.column("quality").slice(row, stop - row), pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "quality", "x"])
 
-    got = sorted(rows.select("doc_id", "quality", "text").mapInArrow(pool, "doc_id long, quality int, x binary").collect(), key=lambda r: (r.doc_id, bytes(r.x)))[: 2 * most]
+    got = sorted(rows.select("doc_id", "quality", "text").mapInArrow(pool, "doc_id long, quality int, x binary").collect(), key=lambda r: (r.doc_id, bytes(r.x)))
     x = np.array([np.frombuffer(bytes(r.x)) for r in got]).reshape(len(got), 2 * DIM)
     return fit(model, x, np.array([r.quality for r in got], float))
 

@@ -17,6 +17,13 @@ def bounded(rows: DataFrame, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), *rows.columns).limit(most)
 
 
+def distinct_texts(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of the distinct rows, which have a doc_id and a text; texts are chosen by digests, never gathered in one place."""
+    named = rows.withColumn("digest", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    key = [c for c in named.columns if c != "text"]
+    return named.join(F.broadcast(bounded(named.select(*key).distinct(), most)), key).dropDuplicates(key).drop("digest")
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)

@@ -15,10 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _BASE, _STEP = 0x9E6F3A5C7D1B2E4B, 0xD6E8FEB86659FD93
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _PLAIN = (np.arange(256, dtype=U) + U(1)) * U(0x2545F4914F6CDD1D)
 _LOWER = _PLAIN.copy()
 _LOWER[65:91] = _PLAIN[97:123]
@@ -87,16 +87,37 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int,
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words of the texts at data[offsets[d]:offsets[d + 1]]; ``lower`` hashes A-Z as a-z."""
+    """Words of the texts at data[offsets[d]:offsets[d + 1]]; ``lower`` hashes A-Z as a-z.
+
+    A longer run is hashed in chunks of about ``SLICE_BYTES`` that end at a space, so that memory grows with its words only.
+    """
     n = len(data)
-    inside = ~_SPACE[data]
+    inside = ~SPACE[data]
     begins, ends = inside.copy(), inside.copy()
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     begins[1:] &= ~inside[:-1] | cut[1:n]
     ends[:-1] &= ~inside[1:] | cut[1:n]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = powers(_BASE, n)
-    total = np.concatenate([[U(0)], np.cumsum((_LOWER if lower else _PLAIN)[data] * up[:n])])
-    value = mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+    value, byte, k = np.zeros(len(start), U), _LOWER if lower else _PLAIN, 0
+    while k < len(start):
+        stop = max(k + 1, int(np.searchsorted(end, start[k] + SLICE_BYTES, "right")))
+        at, a, b = start[k], start[k:stop] - start[k], end[k:stop] - start[k]
+        up, down = powers(_BASE, b[-1])
+        total = np.concatenate([[U(0)], np.cumsum(byte[data[at : end[stop - 1]]] * up[: b[-1]])])
+        value[k:stop] = mix((total[b] - total[a]) * down[a] + (b - a).astype(U))
+        k = stop
     return Words(data, start, end, np.searchsorted(start, offsets), value)
+
+
+def run_sums(table: np.ndarray, index: np.ndarray, begin: np.ndarray, end: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """Sums of table[index[begin[d]:end[d]]] for ascending runs d, ``step`` rows of the table at a time."""
+    out = np.zeros((len(begin), table.shape[1]))
+    for a in range(0, len(index), step):
+        one, two = np.searchsorted(end, a, "right"), np.searchsorted(begin, a + step)
+        if one >= two:
+            continue
+        part = table[index[a : a + step]]
+        total = np.concatenate([np.zeros((1, part.shape[1])), np.cumsum(part, axis=0, dtype=np.float64)])
+        out[one:two] += total[np.clip(end[one:two] - a, 0, len(part))] - total[np.clip(begin[one:two] - a, 0, len(part))]
+    return out
