@@ -7,21 +7,24 @@ The distance is 1 - J; it is a metric on sets. Sets link when it is at most 1 -
    from B, so a set with more shingles that no other class holds links with nothing. Counting is done first over the
    fixed fraction ``SAMPLE`` of all hash values (counting over part of the shingles can only keep more sets), then over
    all shingles of the sets left.
-3. Voronoi regions. In a space where nearly all sets are at distance 1 from each other, a few global pivots would put
+3. Neighbourhoods. In a space where nearly all sets are at distance 1 from each other, a few global pivots would put
    everything on one boundary. So a pivot serves the sets that can be near it: those which share one of their
    rarest (1 - t) * |A| + 1 shingles (linked sets always do). The pivot of such a shingle is the first set that holds it at
-   all, so that sets of one kind meet at the same few pivots. A set belongs to the region of every pivot it meets this way.
-4. Sets inside the radius link with their pivot, the first one they meet before any other. With these links the components are known but for links between
-   two of them, so of a region only the sets outside its most frequent component, the core, are still in question. They are
-   dealt into rings one radius wide around the pivot; by the triangle inequality a linked pair is in one ring or in
-   neighbouring ones, so each ring gets the neighbouring rings as its boundary. Large rings get a pivot of their own and are dealt again.
-5. In the regions left, core sets are compared with all others in blocks of at most ``BLOCK`` sets; only links leave a task.
-6. Links between classes go to connected components.
+   all, so that sets of one kind meet at the same few pivots. A set is in the neighbourhood of every pivot it meets this way.
+4. Sets inside the radius link with the first pivot they meet. With these links the components are known but for links
+   between two of them, so of a neighbourhood only the sets outside its most frequent component, the core, are still in question.
+5. Voronoi regions. A large neighbourhood gets ``PIVOTS`` pivots of its own. Each set is at home with the nearest and, as a boundary
+   set, a guest of every pivot at most two radii further away than that: by the triangle inequality a set linked with A is in
+   the region where A is at home. So core sets at home are compared with all sets of their region. Large regions are split again; a
+   neighbourhood whose sets are about equally far from all pivots would only be copied, and stays whole.
+6. In the regions left, core sets are compared with all others in blocks of at most ``BLOCK`` sets; only links leave a task.
+7. Links between classes go to connected components.
 
 A link inside a component that is already found is not looked for.
 
 A region may hold a third of all sets: its rows are spread over tasks by set or by block, aggregates are partial, and
-no task gets more than two blocks. Shingles are compared by 64-bit hashes, classes by 128-bit digests.
+no task gets more than two blocks. Shingles are compared by 64-bit hashes, classes by 128-bit digests. What grows with the corpus is
+joined by shuffles at every size, so that plans keep their shape.
 """
 
 from __future__ import annotations
@@ -40,6 +43,7 @@ from .text import U, mix, slices, words
 
 SAMPLE = 0.3
 BLOCK = 64
+PIVOTS = 8
 _JOIN = 0xA24BAED4963EE407
 
 
@@ -72,18 +76,33 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _sketch(k: int, share: float):
-    top = U(int(share * 2.0**64))
-
+def _classes(k: int):
     def run(batches):
         for batch in batches:
-            texts, ids = batch.column("text"), batch.column("doc_id")
-            n, keys, low = [], [], []
-            for s in shingle_sets(texts, k):
+            n, keys = [], []
+            for s in shingle_sets(batch.column("text"), k):
                 n.append(len(s))
                 keys.append(digest(s) if len(s) else None)
-                low.append(s[: np.searchsorted(s, top)])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(keys, pa.binary()), _lists(low)], ["doc_id", "n_shingles", "set_key", "low"])
+            first = pa.array([key and int.from_bytes(key[:8], "big", signed=True) for key in keys], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), first], ["doc_id", "n_shingles", "set_key", "key"])
+
+    return run
+
+
+def _low(k: int, share: float):
+    """Class and hash of the shingles whose hash is in the lowest ``share`` of all values."""
+    top = U(int(share * 2.0**64))
+
+    def run(batches):
+        for batch in batches:
+            keys, low = [], []
+            for s in shingle_sets(batch.column("text"), k):
+                if len(s):
+                    low.append(s[: np.searchsorted(s, top)])
+                    keys.append(int.from_bytes(digest(s)[:8], "big", signed=True))
+            if keys:
+                key = np.repeat(np.array(keys, np.int64), [len(x) for x in low])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate(low).view(np.int64))], ["key", "h"])
 
     return run
 
@@ -135,96 +154,103 @@ class JaccardJoin:
 
     def _distances(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs with the sizes of their intersection and union."""
-        one = sets.select(F.col("id"), F.col("n"), F.col("shingles").alias("x"))
-        two = sets.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("shingles").alias("y"))
+        one = sets.select(F.col("id"), F.col("n"), F.col("shingles").alias("x")).hint("merge")
+        two = sets.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("shingles").alias("y")).hint("merge")
         both = F.size(F.array_intersect("x", "y")).cast("long")
-        return pairs.join(one, "id").join(two, "pivot").withColumn("both", both).withColumn("either", F.col("n") + F.col("pn") - F.col("both")).drop("x", "y", "pn")
+        return pairs.join(one, "id").join(two, "pivot").withColumn("both", both).withColumn("either", F.col("n") + F.col("pn") - F.col("both")).drop("x", "y", "n", "pn")
 
     def _linked(self, at: DataFrame) -> DataFrame:
         return at.where(f"both * {self.den} >= {self.num} * either and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
 
-    def _rings(self, at: DataFrame, joined: DataFrame, name: str) -> DataFrame:
-        """The next regions: rings one radius wide, their core, and the sets next to it.
+    def _cores(self, members: DataFrame, joined: DataFrame) -> DataFrame:
+        """region, id, core of region and id: the core is what lies outside the region's most frequent component.
 
-        Only links between different components matter now. So the core of a region is what lies outside its most frequent
-        component, and a pair has to be compared if a core set is in it: in the core set's ring.
+        Only links between different components matter, and of two components one is not the most frequent.
         """
-        ring = F.expr(f"cast((either - both) * {self.den} div (either * {self.den - self.num}) as int)")
-        rows = at.where("id <> pivot").withColumn("ring", ring).join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        rows = self.tmp.save(name, rows.select("region", "pivot", "id", "n", "score", "ring", "component"))
+        rows = members.join(joined, "id", "left").select("region", "id", F.coalesce("component", "id").alias("component"))
         most = rows.groupBy("region", "component").agg(F.count("*").alias("m")).groupBy("region").agg(F.max(F.struct("m", "component")).alias("most"))
-        rows = rows.join(most, "region").withColumn("core", F.col("component") != F.col("most.component")).drop("most")
-        core = rows.where("core").select("region", "pivot", "id", "n", "score", "ring", "core")
-        used = core.select("region", "pivot", "ring").distinct()
-        near = rows.select("region", "pivot", "id", "n", "score", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)).alias("ring"), "core", F.col("ring").alias("home"))
-        near = near.where("not (core and ring <= home)").drop("home").withColumn("core", F.lit(False)).join(used, ["region", "pivot", "ring"], "left_semi")
-        return core.unionByName(near).select(F.xxhash64("region", "pivot", "ring").alias("region"), "id", "n", "score", "core")
+        return rows.join(most, "region").select("region", "id", (F.col("component") != F.col("most.component")).alias("core"))
+
+    def _split(self, regions: DataFrame, sets: DataFrame, state: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Voronoi regions with their boundaries, the regions that would not get smaller, and the components with the links found."""
+        name = F.xxhash64("id", F.lit(k))
+        pivots = regions.where("core").groupBy("region", F.pmod(name, F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct(name, "id"))["id"].alias("pivot")).select("region", "pivot")
+        at = self.tmp.save(f"at{k}", self._distances(regions.join(pivots, "region"), sets), large=True)
+        state = self._joined(state, self._linked(at), f"pivots{k}")
+        far = at.withColumn("far", 1 - F.col("both") / F.col("either"))
+        near = far.groupBy("region", "id").agg(F.min(F.struct("far", "pivot")).alias("near"))
+        window = 2 * (self.den - self.num) / self.den + 1e-9
+        inside = far.join(near, ["region", "id"]).where(F.col("far") <= F.col("near.far") + window)
+        inside = self.tmp.save(f"inside{k}", inside.select("region", "pivot", "id", (F.col("core") & (F.col("pivot") == F.col("near.pivot"))).alias("core")))
+        work = inside.groupBy("region", "pivot").agg((F.count("*") * F.count_if("core")).alias("w")).groupBy("region").agg(F.sum("w").alias("w"))
+        whole = regions.groupBy("region").agg((F.count("*") * F.count_if("core")).alias("all"))
+        good = self.tmp.save(f"good{k}", work.join(whole, "region").where("2 * w <= all").select("region"))
+        made = inside.join(good, "region").select(F.xxhash64("region", "pivot").alias("region"), "id", "core")
+        made = self.tmp.save(f"voronoi{k}", made)
+        self.tmp.drop(f"at{k}", f"inside{k}")
+        return made, regions.join(good, "region", "left_anti"), state
 
     def joined(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(doc_id, n_shingles, set_key) of every row, and the stars of the components of classes, which go by their smallest doc_id."""
         tmp, num, den = self.tmp, self.num, self.den
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        rows = tmp.save("rows", docs.mapInArrow(_sketch(self.k, SAMPLE), "doc_id long, n_shingles long, set_key binary, low array<long>"))
-        classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
+        rows = tmp.save("rows", docs.mapInArrow(_classes(self.k), "doc_id long, n_shingles long, set_key binary, key long"))
+        classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_key", "key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
         # A shingle that one class alone holds has one key; a class that has too many of them links with nothing.
-        key = F.xxhash64("set_key")
-        low = rows.where("n_shingles > 0").select(key.alias("key"), F.explode("low").alias("h"))
+        low = docs.where("doc_id is not null").mapInArrow(_low(self.k, SAMPLE), "key long, h long")
         own = low.groupBy("h").agg(F.min("key").alias("key"), F.max("key").alias("last")).where("key = last").groupBy("key").agg(F.count("*").alias("own"))
-        left = classes.withColumn("key", key).join(own, "key", "left").where(f"coalesce(own, 0) * {den} <= n * {den - num}").select("id", "set_key")
+        left = classes.join(own.hint("merge"), "key", "left").where(f"coalesce(own, 0) * {den} <= n * {den - num}").select("id", "set_key")
         left = tmp.save("left", left, large=True)
-        narrow = tmp.save("narrow", rows.select("doc_id", "n_shingles", "set_key"))
-        tmp.drop("rows")
-        # What is left grows with the corpus, so it is never broadcast.
-        sets = docs.hint("merge").join(left.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", "set_key").mapInArrow(_full(self.k), "id long, n long, shingles array<long>")
+        sets = docs.hint("merge").join(left.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", "set_key").distinct().mapInArrow(_full(self.k), "id long, n long, shingles array<long>")
         sets = tmp.save("sets", sets, large=True)
         # Rarest shared shingles of the sets that can still have a link.
         shingle = sets.select("id", "n", F.explode("shingles").alias("h"))
         often = shingle.groupBy("h").agg(F.count("*").alias("df"), F.min("id").alias("pivot")).where("df > 1")
         rare = (
-            shingle.join(often, "h")
+            shingle.join(often.hint("merge"), "h")
             .groupBy("id", "n")
-            .agg(F.count("*").alias("shared"), F.avg("df").alias("score"), F.sort_array(F.collect_list(F.struct("df", "h", "pivot"))).alias("hs"))
+            .agg(F.count("*").alias("shared"), F.sort_array(F.collect_list(F.struct("df", "h", "pivot"))).alias("hs"))
             .where(f"shared * {den} >= n * {num}")
-            .select("id", "score", F.explode(F.expr(f"slice(hs, 1, cast(shared - ceil(n * {num} / {den}) + 1 as int))")).alias("r"))
-            .select("id", "score", "r.h", "r.pivot")
+            .select("id", F.explode(F.expr(f"slice(hs, 1, cast(shared - ceil(n * {num} / {den}) + 1 as int))")).alias("r"))
+            .select("id", "r.h", "r.pivot")
         )
         rare = tmp.save("rare", rare, large=True)
         lists = rare.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-        pairs = rare.join(lists, "h").select("pivot", "id", "score").distinct().select(F.col("pivot").alias("region"), "pivot", "id", "score")
-        pairs = tmp.save("pairs", pairs)
+        pairs = tmp.save("pairs", rare.join(lists.hint("merge"), "h").select("pivot", "id").distinct())
         used = pairs.select("id").unionByName(pairs.select(F.col("pivot").alias("id"))).distinct()
-        sets = tmp.save("used", sets.join(used, "id"), large=True)
-        tmp.drop("sets", "rare")
-        # Most sets link with the first pivot they meet. Only regions that hold several components after that need all distances.
+        sets = tmp.save("used", sets.join(used.hint("merge"), "id"), large=True)
+        tmp.drop("left", "sets", "rare")
+        # Most sets link with the first pivot they meet. Only neighbourhoods that hold several components after that are split and compared.
         first = pairs.where("pivot <> id").groupBy("id").agg(F.min("pivot").alias("pivot"))
         state = self._joined(None, self._linked(self._distances(first, sets)), "first")
-        named = pairs.select("region", "id").unionByName(pairs.select("region", F.col("pivot").alias("id"))).distinct().join(labels(state), "id", "left")
-        mixed = named.groupBy("region").agg(F.min(F.coalesce("component", "id")).alias("low"), F.max(F.coalesce("component", "id")).alias("high")).where("low < high").select("region")
-        pairs = tmp.save("mixed", pairs.join(mixed, "region"))
+        members = pairs.select(F.col("pivot").alias("region"), "id").unionByName(pairs.select(F.col("pivot").alias("region"), F.col("pivot").alias("id"))).distinct()
+        regions = tmp.save("regions", self._cores(members, labels(state)))
         rest, k = [], 0
         while True:
-            at = tmp.save(f"at{k}", self._distances(pairs, sets))
-            state = self._joined(state, self._linked(at), f"pivots{k}")
-            regions = tmp.save(f"regions{k}", self._rings(at, labels(state), f"rings{k}"))
-            k += 1
-            size = regions.groupBy("region").agg(F.count("*").alias("m"), F.count_if("core").alias("c"), F.max(F.when(F.col("core"), F.struct("score", "id"))).alias("p"))
+            size = regions.groupBy("region").agg(F.count("*").alias("m"), F.count_if("core").alias("c")).where("c > 0")
             size = tmp.save(f"size{k}", size.withColumn("large", F.expr(f"m > {8 * self.block} and c > {self.block}")))
-            if k > self.rounds or size.where("large").isEmpty():
-                rest.append(regions)
+            if k >= self.rounds or size.where("large").isEmpty():
+                rest.append(regions.join(size.select("region"), "region", "left_semi"))
                 break
             rest.append(regions.join(size.where("not large").select("region"), "region", "left_semi"))
-            pairs = regions.drop("n", "core").join(size.where("large").select("region", F.col("p.id").alias("pivot")), "region")
+            regions, whole, state = self._split(regions.join(size.where("large").select("region"), "region", "left_semi"), sets, state, k)
+            rest.append(whole)
+            k += 1
         last = rest[0]
         for more in rest[1:]:
             last = last.unionByName(more)
-        return narrow, self._joined(state, self._blocks(last.select("region", "id", "core"), sets), "blocks")
+        state = self._joined(state, self._blocks(last, sets), "blocks")
+        tmp.drop("pairs", "used", "regions", *(f"{name}{i}" for i in range(k + 1) for name in ("size", "good", "voronoi")))
+        return rows.drop("key"), state
 
     def _joined(self, state: DataFrame | None, found: DataFrame, name: str) -> DataFrame:
         """The stars of the components with these links too."""
-        found = self.tmp.save(name, found)
-        if state is None:
-            return stars(found, self.tmp, f"{name}-")
-        return state if found.isEmpty() else stars(state.unionByName(found), self.tmp, f"{name}-")
+        found = self.tmp.save(name, found, large=True)
+        if state is not None and found.isEmpty():
+            return state
+        out = stars(found if state is None else state.unionByName(found), self.tmp, f"{name}-")
+        self.tmp.drop(name)
+        return out
 
     def _blocks(self, regions: DataFrame, sets: DataFrame) -> DataFrame:
         """All links of core sets: blocks of core sets against blocks of all sets of the region, each pair a group of its own."""
@@ -235,7 +261,7 @@ class JaccardJoin:
         part = lambda n: F.expr(f"cast(pmod(xxhash64(id, 7), {n}) as int)")
         one = rows.where("core").select("region", "id", part("cores").alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), F.lit(True).alias("core"))
         two = rows.select("region", "id", F.explode(F.sequence(F.lit(0), F.col("cores") - 1)).alias("i"), part("alls").alias("j"), F.lit(False).alias("core"))
-        rows = one.unionByName(two).join(sets.select("id", "shingles"), "id")
+        rows = one.unionByName(two).join(sets.select("id", "shingles").hint("merge"), "id")
         return rows.groupBy("region", "i", "j").applyInArrow(_compare(self.num, self.den), "a long, b long")
 
     def run(self, docs: DataFrame) -> DataFrame:
@@ -244,6 +270,5 @@ class JaccardJoin:
         classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"))
         named = classes.join(joined, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
         named = self.tmp.save("named", named)
-        self.tmp.drop("left", "pairs", "used")
         linked = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
         return linked.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
