@@ -129,7 +129,7 @@ def test_long_texts_in_bounded_memory():
 
     path, rnd = vocabulary(), random.Random(8)
     word = ["the", "Straße", "日本", "é", "<|endoftext|>", "don't", "=====", "1234", "\n\n", " ", "\u3000", "\x85"]
-    text = " ".join(rnd.choice(word) for _ in range(200_000))
+    text = " ".join(rnd.choice(word) for _ in range(500_000))
     lib, codec = Tokenizer.from_file(path), Codec(Vocabulary(path), LibraryEncoder(path))
     (_, _, ids, at), = codec.encode(pa.array([text]))
     assert len(text.encode()) > 2 * SLICE and at.tolist() == [0, len(ids)] and ids.tolist() == lib.encode(text, add_special_tokens=False).ids

@@ -13,13 +13,14 @@ import json
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from .text import SPACE, U, mix, powers, slices
 
-SLICE = 500_000
+SLICE = 1_000_000
 _BASE = 0xB5026F5AA96619E9
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 
@@ -178,7 +179,7 @@ class LibraryEncoder:
 class Codec:
     """Ids of whole texts, and texts of ids. ``most`` bounds the number of pieces remembered between slices."""
 
-    def __init__(self, vocabulary: Vocabulary, encode: Callable[[list[bytes]], Iterable[list[int]]], most: int = 500_000):
+    def __init__(self, vocabulary: Vocabulary, encode: Callable[[list[bytes]], Iterable[list[int]]], most: int = 1_000_000):
         self.v, self.encode_pieces, self.most = vocabulary, encode, most
         self.size = np.array([len(b) for b in vocabulary.bytes])
         self.at = np.concatenate([[0], np.cumsum(self.size)])
@@ -186,13 +187,13 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.first, self.count = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.first, self.count = np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, tokens: list[list[int]]) -> None:
-        count = np.array([len(t) for t in tokens], np.int64)
-        first = len(self.pool) + np.concatenate([[0], np.cumsum(count)])[:-1]
-        self.pool = np.concatenate([self.pool, np.array([i for t in tokens for i in t], np.uint32)])
+        count = np.fromiter(map(len, tokens), np.int32, len(tokens))
+        first = (len(self.pool) + np.cumsum(count) - count).astype(np.int32)
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(tokens), np.uint32, int(count.sum()))])
         at = np.searchsorted(self.keys, keys)
         self.keys, self.first, self.count = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.count, at, count)
 
@@ -265,10 +266,9 @@ class Codec:
             known = self.keys[np.minimum(slot, len(self.keys) - 1)] == seen
         new = np.flatnonzero(~known)
         if len(new):
-            at = np.flatnonzero((data & 0xC0) != 0x80)
-            at = np.append(at, len(data))
-            raw = data.tobytes()
-            pieces = [raw[at[start[i]] : at[end[i]]] for i in one[new]]
+            at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+            raw, own = data.tobytes(), one[new]
+            pieces = [raw[a:b] for a, b in zip(at[start[own]].tolist(), at[end[own]].tolist())]
             ids = list(special.values())
             plain = [i for i, k in enumerate(seen[new]) if int(k) not in ids] if special else range(len(new))
             found: list[list[int]] = [[int(k)] for k in seen[new]] if special else [[]] * len(new)
