@@ -23,7 +23,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
     least = pairs.groupBy("a", salt.alias("salt")).agg(F.min("b").alias("m")).groupBy("a").agg(F.min("m").alias("m"))
     least = least.select("a", (F.least("a", "m") if large else F.col("m")).alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    met = pairs.withColumn("salt", salt).join(least, ["a", "salt"])
+    met = pairs.withColumn("salt", salt).join(least.hint("merge"), ["a", "salt"])
     if large:
         moved = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
