@@ -1,16 +1,18 @@
 """Removal of passages that an earlier document has: windows of ``window`` words.
 
 1. Seeds. Of the ``SEED``-word runs in a window the one with the smallest hash is the window's seed, so two equal windows have
-   equal seeds, and about one run in twenty is a seed. Seeds that occur in two documents are confirmed; a window can
-   recur only if its seed does.
-2. Automata. Confirmed seeds go to the documents that hold them. Each task compiles the phrases of its shard of documents into
-   Aho-Corasick automata, a bounded number of phrases at a time, and streams the documents through them to locate every occurrence.
-   An occurrence is a match of the words themselves.
-3. Windows whose seed occurs are hashed whole and counted over all documents: the smallest doc_id of a window owns it.
+   equal seeds, and about one run in twenty is a seed. Seeds that occur in two different texts are confirmed; a window can
+   recur between different texts only if its seed does. A seed belongs to the smallest doc_id that has it.
+2. Automata. The words of a confirmed seed are cut from the document it belongs to. These phrases are dealt into shards of about ``PHRASES``
+   by the document they come from; each shard is compiled into an Aho-Corasick automaton. A document goes to the shards of which
+   it has a seed (none others can have a phrase of it) and is streamed whole through their automata, which locate every occurrence. The
+   documents of a shard are dealt into parts of about ``PART``, each with the shard's automaton.
+3. Windows whose seed was located are hashed whole and counted over all documents: the smallest doc_id of a window owns it.
 4. Every window that a smaller doc_id owns covers its words, and covered words go.
 
-A phrase in a third of all documents is that many rows but no single task's: owners are partial minima and the joins are on plain columns. Windows
-are compared by 64-bit hashes of their words.
+A copy of a whole text under a larger doc_id loses all its words and needs none of this; equal texts are found by a digest of their words.
+A phrase in a third of all documents is that many rows but no single task's: owners are partial minima, the joins are on plain columns, and
+shards are dealt into parts. Windows are compared by 64-bit hashes of their words.
 
 Null texts are empty; a text of fewer words than a window keeps them all; a row with a null doc_id neither owns windows nor loses
 words; rows with one doc_id are one document, so they take nothing from each other; repeated rows come out as often as they went
@@ -21,10 +23,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from math import ceil
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +38,8 @@ from .text import U, Words, slices, words
 from .tokenize import plain
 
 SEED = 12
-PHRASES = 20_000
+PHRASES = 5_000
+PART = 4_096
 _TOP = U(2**64 - 1)
 _GAP = re.compile(rb"[\x20\x09-\x0d]+")
 
@@ -59,89 +64,125 @@ def seeds(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return runs, low[:n], doc[window - 1 :] == doc[:n]
 
 
+def plain_words(text: bytes) -> bytes:
+    """The words with one space between two of them."""
+    return _GAP.sub(b" ", text).strip(b" ")
+
+
 def _emit(window: int):
+    """doc_id, the first half of the digest of the words, and the seeds of every text that has a window."""
+
     def run(batches):
         for batch in batches:
+            ids = batch.column("doc_id")
             for row, stop, data, at in slices(batch.column("text")):
-                w = words(data, at)
+                w, raw = words(data, at), data.tobytes()
                 _, low, whole = seeds(w, window)
-                first, own = np.minimum(w.first, len(low)), []
-                for d in range(stop - row):
+                first, kept, own, sha = np.minimum(w.first, len(low)), [], [], []
+                for d in np.flatnonzero(np.diff(w.first) >= window).tolist():
                     a, b = first[d], first[d + 1]
+                    kept.append(row + d)
                     own.append(np.unique(low[a:b][whole[a:b]]).view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]), pa.int32()), pa.array(np.concatenate(own)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, stop - row), lists], ["doc_id", "seeds"])
+                    sha.append(int.from_bytes(hashlib.sha256(plain_words(raw[at[d] : at[d + 1]])).digest()[:8], "big", signed=True))
+                if kept:
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]), pa.int32()), pa.array(np.concatenate(own)))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(kept)), pa.array(sha, pa.int64()), lists], ["doc_id", "text_key", "seeds"])
 
     return run
 
 
-def occurrences(bodies: list[bytes], places: list[np.ndarray], phrases: list[bytes]) -> list[np.ndarray]:
-    """For each body, the words at which one of the phrases begins; ``places`` are the words' offsets in the body."""
-    found: list[list[int]] = [[] for _ in bodies]
-    for k in range(0, len(phrases), PHRASES):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in phrases[k : k + PHRASES]:
-            automaton.add_word(f" {p.decode('latin-1')} ")
-        automaton.make_automaton()
-        for body, out in zip(bodies, found):
-            out += [end - n + 1 for end, n in automaton.iter(f" {body.decode('latin-1')} ")]
-    return [np.unique(np.searchsorted(at, out)) if out else np.zeros(0, np.int64) for at, out in zip(places, found)]
+def compiled(phrases: list[bytes]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for p in phrases:
+        automaton.add_word(f" {p.decode('latin-1')} ")
+    automaton.make_automaton()
+    return automaton
+
+
+def occurrences(body: bytes, automaton: ahocorasick.Automaton) -> np.ndarray:
+    """The words of the body at which one of the automaton's phrases begins."""
+    found = np.array([end - n + 1 for end, n in automaton.iter(f" {body.decode('latin-1')} ")], np.int64)
+    if not len(found):
+        return found
+    begins = np.concatenate([[0], np.flatnonzero(np.frombuffer(body, np.uint8) == 0x20) + 1])
+    return np.unique(np.searchsorted(begins, found))
+
 
+def _bodies(window: int):
+    """Every row with its words' number and digest; its words where it may lose some; the phrases that belong to it; whether it is a copy."""
 
-def _locate(window: int):
     def run(batches):
         part, row_id = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            hits = batch.column("hits")
+            shards, own, first = batch.column("shards"), batch.column("own"), batch.column("copies")
             for row, stop, data, at in slices(batch.column("text")):
-                w = words(data, at)
-                runs, low, whole = seeds(w, window)
-                grams, _ = w.grams(window)
-                raw, bodies, places, docs, phrases = data.tobytes(), [], [], [], set()
-                n_words, sha, body = np.diff(w.first), [], [None] * (stop - row)
-                for d in range(stop - row):
-                    text = _GAP.sub(b" ", raw[at[d] : at[d + 1]]).strip(b" ")
-                    sha.append(hashlib.sha256(text).hexdigest())
+                w, raw, n = words(data, at), data.tobytes(), stop - row
+                runs, _ = w.grams(SEED)
+                runs = np.minimum(runs, _TOP - U(1))
+                sha, body, phrases, copy = [], [None] * n, [[] for _ in range(n)], [False] * n
+                for d in range(n):
+                    text = plain_words(raw[at[d] : at[d + 1]])
+                    digest = hashlib.sha256(text)
+                    sha.append(digest.hexdigest())
                     a, b = w.first[d], w.first[d + 1]
-                    if hits[row + d].is_valid and b - a >= window:
-                        size = w.end[a:b] - w.start[a:b]
-                        place = np.concatenate([[0], np.cumsum(size + 1)])
-                        known = hits[row + d].values.to_numpy().view(U)
-                        for p in np.flatnonzero(np.isin(runs[a : b - SEED + 1], known)):
-                            phrases.add(text[place[p] : place[p + SEED] - 1])
-                        docs.append(d)
-                        bodies.append(text)
-                        places.append(place[:-1])
+                    if b - a < window:
+                        continue
+                    if first[row + d].is_valid and int.from_bytes(digest.digest()[:8], "big", signed=True) in first[row + d].as_py():
+                        copy[d] = True
+                    elif shards[row + d].is_valid:
                         body[d] = text
-                spots, hashes = [np.zeros(0, np.int32)] * (stop - row), [np.zeros(0, np.int64)] * (stop - row)
-                for d, occ in zip(docs, occurrences(bodies, places, sorted(phrases))):
-                    a, b = w.first[d], w.first[d + 1] - window + 1
-                    own = np.full(b - a + window - SEED, _TOP)
-                    occ = occ[occ < len(own)]
-                    own[occ] = runs[a + occ]
-                    spot = np.flatnonzero(sliding_min(own, window - SEED + 1) == low[a:b])
-                    spots[d], hashes[d] = spot.astype(np.int32), grams[a + spot].view(np.int64)
-                    if not len(spot):
-                        body[d] = None
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in spots])]), pa.int32())
-                n = stop - row
+                        place = np.concatenate([[0], np.cumsum(w.end[a:b] - w.start[a:b] + 1)])
+                        here = runs[a : b - SEED + 1]
+                        mine = np.flatnonzero(np.isin(here, own[row + d].values.to_numpy().view(U)))
+                        phrases[d] = list({text[place[p] : place[p + SEED] - 1] for p in mine.tolist()})
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(part + row_id + np.arange(n), pa.int64()),
                         batch.column("doc_id").slice(row, n),
-                        pa.array(n_words, pa.int64()),
+                        pa.array(np.diff(w.first), pa.int64()),
                         pa.array(sha, pa.string()),
+                        pa.array(copy, pa.bool_()),
                         pa.array(body, pa.binary()),
-                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate(spots))),
-                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate(hashes))),
+                        shards.slice(row, n),
+                        batch.column("home").slice(row, n),
+                        pa.array(phrases, pa.list_(pa.binary())),
                     ],
-                    ["row", "doc_id", "n_words", "sha", "body", "at", "h"],
+                    ["row", "doc_id", "n_words", "sha", "copy", "body", "shards", "home", "phrases"],
                 )
                 row_id += n
 
     return run
 
 
+def _scan(window: int):
+    """The windows of a part of a shard's documents whose seed the shard's automaton locates."""
+
+    def run(bodies, phrases):
+        out = []
+        if bodies.num_rows and phrases.num_rows:
+            automaton = compiled(phrases.column("phrase").to_pylist())
+            texts = bodies.column("body").combine_chunks()
+            ids, rows = bodies.column("doc_id").to_numpy(), bodies.column("row").to_numpy()
+            for row, stop, data, at in slices(pc.cast(texts, pa.large_binary()).cast(pa.large_string())):
+                w, raw = words(data, at), data.tobytes()
+                runs, low, _ = seeds(w, window)
+                grams, _ = w.grams(window)
+                for d in range(stop - row):
+                    a, b = w.first[d], w.first[d + 1] - window + 1
+                    occ = occurrences(raw[at[d] : at[d + 1]], automaton)
+                    own = np.full(b - a + window - SEED, _TOP)
+                    occ = occ[occ < len(own)]
+                    own[occ] = runs[a + occ]
+                    spot = np.flatnonzero(sliding_min(own, window - SEED + 1) == low[a:b])
+                    if len(spot):
+                        out.append((rows[row + d], ids[row + d], spot.astype(np.int32), grams[a + spot].view(np.int64)))
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(x[2]) for x in out])]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, kind), *(x[k] for x in out)]).astype(kind))) for k, kind in ((2, np.int32), (3, np.int64))]
+        return pa.Table.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), *lists], ["row", "doc_id", "at", "h"])
+
+    return run
+
+
 def _cut(window: int):
     """Digest of what is left of a body without the words of the windows at ``gone``."""
 
@@ -170,29 +211,58 @@ class RepeatedPhrases:
     def __init__(self, spark: SparkSession, window: int = 50):
         self.spark, self.window, self.tmp = spark, window, Scratch(spark, "phrases")
 
-    def located(self, docs: DataFrame) -> DataFrame:
-        """Every row with its words' number and digest; where windows may recur, also its words, and these windows."""
+    def bodies(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Every row with its words' number and digest, and its words if windows of it may recur; and the parts of each shard."""
         tmp = self.tmp
-        made = tmp.save("seeds", docs.where("doc_id is not null").mapInArrow(_emit(self.window), "doc_id long, seeds array<long>"))
-        rows = made.select("doc_id", F.explode("seeds").alias("h"))
-        often = rows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
+        made = tmp.save("seeds", docs.where("doc_id is not null").mapInArrow(_emit(self.window), "doc_id long, text_key long, seeds array<long>"))
+        rows = made.select("doc_id", "text_key", F.explode("seeds").alias("h"))
+        often = rows.groupBy("h").agg(F.min("doc_id").alias("a"), F.min("text_key").alias("one"), F.max("text_key").alias("two")).where("one < two").select("h", "a")
         often = tmp.save("often", often, large=True)
-        hits = tmp.save("hits", rows.join(often, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits")), large=True)
-        tmp.drop("seeds", "often")
-        # Hits grow with the corpus, so they are never broadcast.
-        routed = docs.hint("merge").join(hits, "doc_id", "left").select("doc_id", "text", "hits")
-        out = tmp.save("located", routed.mapInArrow(_locate(self.window), "row long, doc_id long, n_words long, sha string, body binary, at array<int>, h array<long>"), large=True)
-        tmp.drop("hits")
-        return out
+        shard = F.pmod(F.xxhash64("a"), F.lit(max(1, ceil(often.count() / PHRASES)))).cast("int")
+        met = rows.drop("text_key").join(often.hint("merge"), "h").groupBy("doc_id", shard.alias("shard")).agg(F.collect_set(F.when(F.col("doc_id") == F.col("a"), F.col("h"))).alias("own"))
+        met = tmp.save("met", met, large=True)
+        parts = tmp.save("parts", met.groupBy("shard").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
+        hits = met.join(parts, "shard").groupBy("doc_id").agg(
+            F.collect_list(F.struct("shard", "parts")).alias("shards"), F.flatten(F.collect_list("own")).alias("own"), F.max(F.when(F.size("own") > 0, F.col("shard"))).alias("home")
+        )
+        first = made.groupBy("text_key").agg(F.min("doc_id").alias("first"))
+        copies = made.select("doc_id", "text_key").join(first.hint("merge"), "text_key").where("first < doc_id").groupBy("doc_id").agg(F.collect_set("text_key").alias("copies"))
+        known = tmp.save("known", hits.join(copies.hint("merge"), "doc_id", "full"), large=True)
+        tmp.drop("seeds", "often", "met")
+        # What is known grows with the corpus, so it is never broadcast.
+        routed = docs.hint("merge").join(known, "doc_id", "left").select("doc_id", "text", "shards", "own", "home", "copies")
+        schema = "row long, doc_id long, n_words long, sha string, copy boolean, body binary, shards array<struct<shard:int,parts:int>>, home int, phrases array<binary>"
+        out = tmp.save("bodies", routed.mapInArrow(_bodies(self.window), schema), large=True)
+        tmp.drop("known")
+        return out, parts
+
+    def located(self, bodies: DataFrame, parts: DataFrame) -> DataFrame:
+        """Windows (row, doc_id, at, h, as arrays) that may recur."""
+        tmp = self.tmp
+        phrases = tmp.save("phrases", bodies.select(F.col("home").alias("shard"), F.explode("phrases").alias("phrase")).distinct())
+        each = phrases.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "phrase")
+        texts = bodies.where("body is not null and doc_id is not null").select("row", "doc_id", "body", F.explode("shards").alias("s"))
+        texts = texts.select("row", "doc_id", "body", "s.shard", F.pmod(F.xxhash64("row"), F.col("s.parts")).cast("int").alias("part"))
+        found = texts.groupBy("shard", "part").cogroup(each.groupBy("shard", "part")).applyInArrow(_scan(self.window), "row long, doc_id long, at array<int>, h array<long>")
+        return tmp.save("located", found, large=True)
 
     def run(self, docs: DataFrame) -> DataFrame:
         tmp = self.tmp
-        located = self.located(plain(docs))
-        windows = located.where("body is not null and doc_id is not null").select("row", "doc_id", F.explode(F.arrays_zip("at", "h")).alias("w")).select("row", "doc_id", "w.at", "w.h")
-        owner = tmp.save("owner", windows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first"))
-        gone = windows.join(owner, "h").where("first < doc_id").groupBy("row").agg(F.collect_list("at").alias("gone"))
+        bodies, parts = self.bodies(plain(docs))
+        windows = self.located(bodies, parts).select("row", "doc_id", F.explode(F.arrays_zip("at", "h")).alias("w")).select("row", "doc_id", "w.at", "w.h")
+        owner = tmp.save("owner", windows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first"), large=True)
+        gone = windows.join(owner.hint("merge"), "h").where("first < doc_id").groupBy("row").agg(F.collect_list("at").alias("gone"))
         gone = tmp.save("gone", gone, large=True)
-        cut = tmp.save("cut", located.select("row", "body").join(gone, "row").mapInArrow(_cut(self.window), "row long, n_removed long, kept_sha256 string, kept string"))
-        tmp.drop("owner", "gone")
-        out = located.select("row", "doc_id", "n_words", "sha").join(cut, "row", "left")
-        return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept")
+        tmp.drop("owner", "located", "phrases", "parts")
+        cut = bodies.select("row", "body").where("body is not null").join(gone.hint("merge"), "row")
+        cut = tmp.save("cut", cut.mapInArrow(_cut(self.window), "row long, n_removed long, kept_sha256 string, kept string"), large=True)
+        tmp.drop("gone")
+        out = bodies.select("row", "doc_id", "n_words", "sha", "copy").join(cut.hint("merge"), "row", "left")
+        none = hashlib.sha256(b"").hexdigest()
+        return out.select(
+            "doc_id",
+            "n_words",
+            F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+            F.when(F.col("copy"), none).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+            F.when(F.col("copy"), "").otherwise(F.col("kept")).alias("kept"),
+        )
