@@ -13,8 +13,10 @@ Windows between two that meet, broken by an edit of at most ``near`` words put i
 Windows with fewer than ``literal`` words that are no slots in the item say little and are left out; an item that has
 no others keeps them and must meet word for word.
 
-The benchmark's windows are broadcast when they are counted to be at most ``small``; else both sides are shuffled by the hash.
-Documents are read once and only meetings are shuffled; a window that meets many items or documents is only as many rows.
+A table of ``PLACES`` marks, set at the places that the benchmark's hashes point to, goes to all tasks; windows of documents whose place has no
+mark are left out where they are made. The benchmark's windows are broadcast when they take at most ``small`` bytes; else both sides
+are shuffled by the hash. Either way the same windows meet. Documents are read once and only meetings are shuffled; a
+window that meets many items or documents is only as many rows.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import let
+from .store import Scratch, let
 
 #: Unit words, as they follow a number.
 UNITS = "% $ € £ mm cm m km in ft yd mi g kg mg t lb oz l ml s sec min h hr ms inch inches foot feet yard yards mile miles meter meters metre metres gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degrees".split()
+PLACES = 1 << 19
 TOKEN = r"\p{N}[\p{N}.,]*|[\p{L}\p{M}]+|[$€£%]"
 
 
@@ -42,10 +45,17 @@ def _slot(raw: Column, x: Column, i: Column) -> Column:
     return F.when(first.between("a", "z"), F.when(unit, 3).otherwise(0)).when(first != F.lower(first), 2).when(first.rlike(r"^\p{N}"), 1).when(unit, 3).otherwise(0)
 
 
-def windows(rows: DataFrame, key: str, sizes: list[int], typed_sizes: list[int], item: bool = False) -> DataFrame:
+def place(h: Column) -> Column:
+    """Where a hash points to in the table of marks."""
+    return F.shiftrightunsigned(h, 64 - PLACES.bit_length() + 1).cast("int")
+
+
+def windows(rows: DataFrame, key: list[str], sizes: list[int], typed_sizes: list[int], marks: bytes | None = None) -> DataFrame:
     """key, literal, at, size, h, and what the hash leaves open: windows of words by their words (literal), and windows of places by
     their template. ``own`` has the window's words as hashes in lower case, ``slot`` the slot of each word or place, ``starts`` the first
-    word of each place and one beyond the last. Literal windows of documents carry none of these. The two kinds never share a hash."""
+    word of each place and one beyond the last. The two kinds never share a hash. With ``marks`` these are windows of documents: only
+    those whose hash points to a mark, without the slots, and literal ones without any of these."""
+    item = marks is None
 
     def made(raw: Column) -> Column:
         return let(F.transform(raw, lambda x, i: F.struct(_slot(raw, x, i).alias("slot"), F.xxhash64(F.lower(x)).alias("own"), i.alias("i"))), lambda t: let(
@@ -73,16 +83,19 @@ def windows(rows: DataFrame, key: str, sizes: list[int], typed_sizes: list[int],
         none = lambda x, kind: (F.lit(None) if x is None else x).cast(f"array<{kind}>")
         return F.struct(F.lit(kind).alias("literal"), i.alias("at"), F.lit(n).alias("size"), h.alias("h"), none(own, "bigint").alias("own"), none(slot, "int").alias("slot"), none(starts, "int").alias("starts"))
 
+    def hashed(x: Column, n: int, first: int) -> Column:
+        all_ = F.transform(each(x, n), lambda i: F.struct(i.alias("i"), F.xxhash64(F.lit(first), F.slice(x, i, n)).alias("h")))
+        return all_ if item else F.filter(all_, lambda w: F.substring(F.lit(marks), place(w["h"]) + 1, F.lit(1)) == F.lit(b"\1"))
+
     def literal(q: Column, n: int) -> Column:
-        return F.transform(each(q["own"], n), lambda i: window(True, i, n, F.xxhash64(F.lit(-n), F.slice(q["own"], i, n)), None, F.slice(q["slot"], i, n) if item else None, None))
+        return F.transform(hashed(q["own"], n, -n), lambda w: window(True, w["i"], n, w["h"], None, F.slice(q["slot"], w["i"], n) if item else None, None))
 
     def typed(q: Column, n: int) -> Column:
         start = lambda i: F.get(q["starts"], i - 1)
-        return F.transform(each(q["form"], n), lambda i: window(
-            False, i, n, F.xxhash64(F.lit(n), F.slice(q["form"], i, n)), F.slice(q["own"], start(i) + 1, start(i + n) - start(i)), F.slice(q["place_slot"], i, n) if item else None, F.slice(q["starts"], i, n + 1)
-        ))
+        own = lambda i: F.slice(q["own"], start(i) + 1, start(i + n) - start(i))
+        return F.transform(hashed(q["form"], n, n), lambda w: window(False, w["i"], n, w["h"], own(w["i"]), F.slice(q["place_slot"], w["i"], n) if item else None, F.slice(q["starts"], w["i"], n + 1)))
 
-    return rows.select(key, F.inline(let(_tokens(F.col("text")), made)))
+    return rows.select(*key, F.inline(let(_tokens(F.col("text")), made)))
 
 
 def _places(t: Column) -> Column:
@@ -108,12 +121,13 @@ class Decontaminator:
     """Leaks of a benchmark (item_id, text) in documents (doc_id, text).
 
     Null and blank texts have no windows, in either table; repeated rows add nothing (a leak is a pair of doc_id and item_id;
-    rows with one doc_id are one document); a null doc_id is a document of its own; very long texts are taken whole; other
+    rows with one doc_id are one document); a row with a null doc_id is a document of its own; very long texts are taken whole; other
     columns are ignored; with an empty table there are no leaks.
     """
 
-    def __init__(self, spark: SparkSession, width: int = 8, cover: float = 0.6, literal: int = 4, small: int = 1_000_000, near: int = 4):
+    def __init__(self, spark: SparkSession, width: int = 8, cover: float = 0.6, literal: int = 4, small: int = 32 << 20, near: int = 4):
         self.spark, self.width, self.cover, self.literal, self.small, self.near = spark, width, cover, literal, small, near
+        self.tmp = Scratch(spark, "benchmark")
 
     def index(self, benchmark: DataFrame) -> tuple[DataFrame, list[int], list[int]]:
         items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
@@ -121,7 +135,7 @@ class Decontaminator:
         slots = F.transform(raw, lambda x, i: F.struct(_slot(raw, x, i).alias("slot")))
         sized = items.withColumn("n", F.least(F.size(raw), F.lit(self.width))).withColumn("m", F.least(F.size(let(slots, _places)), F.lit(self.width)))
         sizes = sorted((r.n, r.m) for r in sized.select("n", "m").where("n > 0").distinct().collect()) or [(self.width, self.width)]
-        parts = [windows(sized.where((F.col("n") == n) & (F.col("m") == m)), "item_id", [n], [m], item=True) for n, m in sizes]
+        parts = [windows(sized.where((F.col("n") == n) & (F.col("m") == m)), ["item_id"], [n], [m]) for n, m in sizes]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -132,19 +146,36 @@ class Decontaminator:
         out = out.withColumn("nth", F.dense_rank().over(Window.partitionBy("item_id", "literal").orderBy("at")))
         of = F.when(F.col("rich_n") > 0, F.col("rich_n")).otherwise(F.col("all_n")).alias("of")
         out = out.select("item_id", "literal", "h", F.col("at").alias("item_at"), "nth", "slot", F.col("own").alias("item_own"), F.col("starts").alias("item_starts"), of).dropDuplicates(["item_id", "item_at", "h"])
+        out = self.tmp.save("index", out)
         return out, sorted({n for n, _ in sizes}), sorted({m for _, m in sizes})
 
     def leaks(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         """doc_id, item_id, windows that meet, word for word or not, of how many, and whether the slots are consistent."""
+        leak = self._leaks(docs, benchmark)
+        best = F.max(F.struct(F.size("same").alias("verbatim"), F.size("met").alias("met"), "of")).alias("best")
+        return leak.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.met").cast("long").alias("n_windows"), F.col("best.verbatim").cast("long").alias("n_verbatim"), F.col("best.of").alias("n_item_windows"), F.lit(True).alias("consistent"))
+
+    @staticmethod
+    def _named(docs: DataFrame) -> list[Column]:
+        """doc_id, and what tells documents with a null doc_id apart: a hash of their text."""
+        doc_id = F.col("doc_id").cast("long")
+        return [doc_id.alias("doc_id"), F.when(doc_id.isNull(), F.xxhash64(F.col("text").cast("string"))).otherwise(F.lit(0)).alias("twin")]
+
+    def _leaks(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+        """Alignments that are leaks: doc_id, twin, item_id, the windows met (met, same) and of how many."""
         index, sizes, typed_sizes = self.index(benchmark)
-        if index.count() <= self.small:
+        marks = bytearray(PLACES)
+        for r in index.select(place(F.col("h")).alias("p")).distinct().collect():
+            marks[r.p] = 1
+        words = F.coalesce(F.size("item_own"), F.lit(0)) + F.coalesce(F.size("item_starts"), F.lit(0)) + F.size("slot")
+        if (index.agg(F.sum(8 * words + 100)).first()[0] or 0) <= self.small:
             index = F.broadcast(index)
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        hits = windows(texts, "doc_id", sizes, typed_sizes).drop("size", "slot", "literal").join(index, "h")
+        texts = docs.select(*self._named(docs), F.col("text").cast("string").alias("text"))
+        hits = windows(texts, ["doc_id", "twin"], sizes, typed_sizes, bytes(marks)).drop("size", "slot", "literal").join(index, "h")
         met = F.struct(F.col("item_at").alias("at"), "nth")
         one = (
-            hits.select("doc_id", "item_id", "literal", (F.col("at") - F.col("item_at")).alias("shift"), "of", met.alias("met"), (F.col("literal") | (F.col("own") == F.col("item_own"))).alias("same"), _filled().alias("slots"))
-            .groupBy("doc_id", "item_id", "literal", "shift")
+            hits.select("doc_id", "twin", "item_id", "literal", (F.col("at") - F.col("item_at")).alias("shift"), "of", met.alias("met"), (F.col("literal") | (F.col("own") == F.col("item_own"))).alias("same"), _filled().alias("slots"))
+            .groupBy("doc_id", "twin", "item_id", "literal", "shift")
             .agg(
                 F.collect_set("met").alias("met"),
                 F.collect_set(F.when(F.col("same"), F.col("met"))).alias("same"),
@@ -154,12 +185,12 @@ class Decontaminator:
         )
         one = one.where(self._consistent())
         # Neighbouring offsets are one alignment: a word more or less in the middle moves what follows.
-        ordered = Window.partitionBy("doc_id", "item_id", "literal").orderBy("shift")
+        ordered = Window.partitionBy("doc_id", "twin", "item_id", "literal").orderBy("shift")
         far = F.coalesce(F.col("shift") - F.lag("shift").over(ordered) > self.near, F.lit(True))
         joined = (
             one.withColumn("far", far.cast("int"))
             .withColumn("group", F.sum("far").over(ordered))
-            .groupBy("doc_id", "item_id", "literal", "group")
+            .groupBy("doc_id", "twin", "item_id", "literal", "group")
             .agg(
                 F.first("of").alias("of"),
                 F.collect_list(F.struct("met", "same")).alias("alone"),
@@ -170,10 +201,8 @@ class Decontaminator:
         )
         # Each offset alone and all together, from one pass over the documents.
         both = F.when(self._consistent(), F.concat("alone", F.array(F.struct("met", "same")))).otherwise(F.col("alone"))
-        judged = joined.select("doc_id", "item_id", "of", F.inline(both))
-        leak = judged.where(F.size("met") + self._broken() >= F.col("of") * self.cover)
-        best = F.max(F.struct(F.size("same").alias("verbatim"), F.size("met").alias("met"), "of")).alias("best")
-        return leak.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.met").cast("long").alias("n_windows"), F.col("best.verbatim").cast("long").alias("n_verbatim"), F.col("best.of").alias("n_item_windows"), F.lit(True).alias("consistent"))
+        judged = joined.select("doc_id", "twin", "item_id", "of", F.inline(both))
+        return judged.where(F.size("met") + self._broken() >= F.col("of") * self.cover)
 
     @staticmethod
     def _consistent() -> Column:
@@ -191,5 +220,6 @@ class Decontaminator:
 
     def clean(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         """``docs`` without the documents that leak an item; all columns stay."""
-        gone = self.leaks(docs, benchmark).select(F.col("doc_id").alias("__leak")).distinct()
-        return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__leak"]), "left_anti")
+        gone = self._leaks(docs, benchmark).select(F.col("doc_id").alias("__leak"), F.col("twin").alias("__twin")).distinct()
+        doc_id, twin = self._named(docs)
+        return docs.join(gone, doc_id.eqNullSafe(gone["__leak"]) & (twin == gone["__twin"]), "left_anti")
