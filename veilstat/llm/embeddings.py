@@ -9,23 +9,28 @@ The range join lays a grid of two radii over a block's first few dimensions: as
 to have about ``FILL`` vectors in a cell. A vector is at home in one cell and a guest in those within one radius of it. Cells are
 compared in pieces of at most ``PIECE`` home vectors with ``PIECE`` others, each pair of pieces a group of its own, so a crowded
 cell is many tasks. Equal vectors of one label are one class, made before anything is joined, and count by their number.
+
+No pair leaves a task. The range join says which vectors of a cell have a candidate there; only these are brought together with
+their whole vectors. A pair is tested where one of them is at home, in the first block that has it as a candidate, and adds to that one's
+number of links; of the links in a task those of a spanning forest come out, at most one for each vector.
 """
 
 from __future__ import annotations
 
 from functools import cache
-from itertools import product
 from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
 from .store import Scratch
+from .text import U, mix
 
 WIDTH, FILL, PIECE, SLACK = 8, 500, 1024, 1e-9
+_KEY = ["label", "block", "cell"]
 
 
 @cache
@@ -35,47 +40,138 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def turned(x: np.ndarray) -> np.ndarray:
+    """The vectors (rows) at length 1, rotated."""
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation(x.shape[1]).T
+
+
+def blocks(dim: int, limit: float) -> list[tuple[slice, float]]:
+    """Dimensions and squared distance of each block."""
+    cuts = [slice(a, min(a + WIDTH, dim)) for a in range(0, dim, WIDTH)]
+    return [(c, limit * (c.stop - c.start) / dim) for c in cuts]
+
+
+def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T
+
+
+def matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    """A column of lists of one length as rows."""
+    flat = lists.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(lists), -1)
+
+
 def _cells(limit: float, grid: int):
-    """id, label, dim and a vector's block, cell, whether it is at home there, and its place in the block."""
+    """id, label, block and cell of a vector's homes and visits, whether it is at home there, and its part in the block."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for id_, label, x in zip(batch.column("id").to_pylist(), batch.column("label").to_pylist(), batch.column("vec")):
-                v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                v = rotation(len(v)) @ (v / np.linalg.norm(v))
-                for k in range(ceil(len(v) / WIDTH)):
-                    part = v[k * WIDTH : (k + 1) * WIDTH]
-                    r = (limit * len(part) / len(v)) ** 0.5
-                    head = part[:grid]
-                    low, home, high = (np.floor((head + d) / (2 * r)).astype(int) for d in (-r, 0.0, r))
-                    for cell in product(*(range(a, b + 1) for a, b in zip(low, high))):
-                        at = ",".join(map(str, (len(v), k, *cell)))
-                        out.append((id_, label, at, cell == tuple(home), part.tolist(), r * r))
-            cols = list(zip(*out)) if out else [[]] * 6
-            types = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.float64()), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["id", "label", "cell", "home", "part", "budget"])
+            vec = batch.column("vec")
+            size = np.diff(vec.offsets.to_numpy())
+            for dim in np.unique(size).tolist():
+                own = pa.array(np.flatnonzero(size == dim))
+                x = turned(vec.take(own).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+                for k, (cut, budget) in enumerate(blocks(dim, limit)):
+                    part = np.ascontiguousarray(x[:, cut])
+                    at = part[:, :grid] / (2 * (budget + 3 * SLACK) ** 0.5)
+                    low, home = np.floor(at - 0.5).astype(np.int64), np.floor(at).astype(np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, part.shape[1]), pa.int32()), pa.array(part.ravel()))
+                    for corner in range(1 << at.shape[1]):
+                        here = low + [corner >> j & 1 for j in range(at.shape[1])]
+                        cell = np.full(len(x), dim, U)
+                        for j in range(at.shape[1]):
+                            cell = mix(cell + here[:, j].astype(U))
+                        cols = [batch.column("id").take(own), batch.column("label").take(own), pa.array(np.full(len(x), k, np.int32)), pa.array(cell.view(np.int64)), pa.array((here == home).all(axis=1)), pa.array(np.full(len(x), dim, np.int32)), lists]
+                        yield pa.RecordBatch.from_arrays(cols, ["id", "label", "block", "cell", "home", "dim", "part"])
 
     return run
 
 
-def _near(table):
-    """Pairs of a piece of home vectors and a piece of a cell's vectors within the block's budget."""
-    side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
-    x = np.array(table.column("part").to_pylist())
-    one, two, budget = side == 0, side == 1, table.column("budget")[0].as_py() if len(ids) else 0.0
-    a, b = [], []
-    if one.any() and two.any():
-        own, rest, y = x[one], ids[two], x[two]
-        for row in range(0, len(own), 256):
-            part = own[row : row + 256]
-            near = (part**2).sum(1)[:, None] + (y**2).sum(1) - 2 * part @ y.T <= budget + SLACK
-            i, j = np.nonzero(near)
-            i, j = ids[one][row + i], rest[j]
-            a.append(np.maximum(i, j)[i != j])
-            b.append(np.minimum(i, j)[i != j])
-    pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
-    return pa.table({"a": pa.array(pair[0], pa.int64()), "b": pa.array(pair[1], pa.int64())})
+def _active(limit: float):
+    """The vectors of a pair of pieces that have another within the block's distance."""
+
+    def run(table):
+        side, ids, dims = table.column("side").to_numpy(), table.column("id").to_numpy(), table.column("dim").to_numpy()
+        own, rest = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        some = np.zeros(len(ids), bool)
+        if len(own) and len(rest):
+            x, k = matrix(table.column("part")), table.column("block")[0].as_py()
+            budget = blocks(int(dims[0]), limit)[k][1]
+            for row in range(0, len(own), 256):
+                part = own[row : row + 256]
+                near = (squares(x[part], x[rest]) <= budget + 2 * SLACK) & (ids[part][:, None] != ids[rest])
+                some[part] |= near.any(axis=1)
+                some[rest] |= near.any(axis=0)
+        return table.filter(pa.array(some)).select([*_KEY, "id", "home"])
+
+    return run
+
+
+def _links(limit: float, least: float):
+    """For each home vector the rows it links with here, and links that join what is linked here."""
+
+    def run(table):
+        side, ids, n = table.column("side").to_numpy(), table.column("id").to_numpy(), table.column("n").to_numpy()
+        own, rest = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b, count = [], [], []
+        if len(own) and len(rest):
+            x, k = matrix(table.column("vec")), table.column("block")[0].as_py()
+            size, t = np.linalg.norm(x, axis=1), turned(x)
+            cuts = blocks(x.shape[1], limit)
+            mark, linked = ids.copy(), []
+            for row in range(0, len(own), 256):
+                part = own[row : row + 256]
+                cosine = (x[part] @ x[rest].T) / size[part][:, None] / size[rest]
+                link = cosine >= least
+                for i, j in zip(*np.nonzero(np.abs(cosine - least) < 1e-12)):
+                    link[i, j] = plain_cosine(x[part[i]].tolist(), x[rest[j]].tolist()) >= least
+                link &= ids[part][:, None] != ids[rest]
+                linked.append((part, link.copy()))
+                if link.any():
+                    for cut, budget in cuts[:k]:
+                        link &= squares(t[part][:, cut], t[rest][:, cut]) > budget + SLACK
+                    link &= squares(t[part][:, cuts[k][0]], t[rest][:, cuts[k][0]]) <= cuts[k][1] + SLACK
+                a.append(ids[part])
+                b.append(ids[part])
+                count.append((link * n[rest]).sum(axis=1))
+            # The smallest id that each vector reaches inside this task.
+            top, before = np.iinfo(np.int64).max, None
+            while before is None or (mark != before).any():
+                before = mark.copy()
+                for part, link in linked:
+                    mark[part] = np.minimum(mark[part], np.where(link, mark[rest], top).min(axis=1))
+                    mark[rest] = np.minimum(mark[rest], np.where(link, mark[part][:, None], top).min(axis=0))
+            moved = mark != ids
+            a.append(ids[moved])
+            b.append(mark[moved])
+            count.append(np.zeros(moved.sum(), np.int64))
+        flat = [np.concatenate([np.zeros(0, np.int64), *z]) for z in (a, b, count)]
+        keep = (flat[0] != flat[1]) | (flat[2] > 0)
+        return pa.table({name: pa.array(z[keep], pa.int64()) for name, z in zip(("a", "b", "n"), flat)})
+
+    return run
+
+
+def plain_cosine(x: list[float], y: list[float]) -> float:
+    dot = lambda u, v: sum(p * q for p, q in zip(u, v))
+    return dot(x, y) / (dot(x, x) ** 0.5 * dot(y, y) ** 0.5)
+
+
+def pieces(rows: DataFrame, size: int) -> DataFrame:
+    """Pairs of pieces: each home vector (side 0) beside every piece of its cell's vectors, and each vector (side 1) beside every home piece."""
+    many = rows.groupBy(*_KEY).agg(F.count_if("home").alias("h"), F.count("*").alias("m")).where("h > 0 and m > 1")
+    many = many.select(*_KEY, F.ceil(F.col("h") / size).cast("int").alias("homes"), F.ceil(F.col("m") / size).cast("int").alias("alls"))
+    got = rows.join(many, _KEY)
+
+    def piece(n: str) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(3)), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    one = got.where("home").select(*rows.columns, piece("homes").alias("i"), every("alls").alias("j"), F.lit(0).alias("side"))
+    two = got.select(*rows.columns, every("homes").alias("i"), piece("alls").alias("j"), F.lit(1).alias("side"))
+    return one.unionByName(two)
 
 
 class EmbeddingJoin:
@@ -97,41 +193,38 @@ class EmbeddingJoin:
         some = F.exists("vec", lambda x: x != 0)
         ok = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(~bad & some, F.lit(False))
         got = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), vec.alias("vec"))
-        key = F.unhex(F.sha2(F.concat_ws(",", F.col("label"), F.col("vec").cast("array<string>")).cast("binary"), 256))
+        # The label's length tells it from what follows, whatever it holds.
+        named = F.concat_ws(",", F.length("label").cast("string"), F.col("label"), F.col("vec").cast("array<string>"))
+        key = F.unhex(F.sha2(named.cast("binary"), 256))
         got = self.tmp.save("rows", got.select("vec_id", F.when(ok, key).alias("key"), F.when(ok, F.col("label")).alias("label"), F.when(ok, F.col("vec")).alias("vec")))
         made = got.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.any_value("label").alias("label"), F.any_value("vec").alias("vec"))
         return got.select("vec_id", "key"), self.tmp.save("classes", made)
 
     def links(self, classes: DataFrame) -> DataFrame:
-        """Pairs (a, b) of class ids whose cosine is at least the limit."""
+        """(a, a, n): n rows of other classes link with class a; (a, b, 0): links that join all that is linked."""
         limit = 2 - 2 * self.least + SLACK
         most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
         grid = min(WIDTH, max(1, ceil(log(max(most / FILL, 1), 4))))
-        cells = classes.select("id", "label", "vec").mapInArrow(_cells(limit, grid), "id long, label string, cell string, home boolean, part array<double>, budget double")
+        cells = classes.select("id", "label", "vec").mapInArrow(_cells(limit, grid), "id long, label string, block int, cell long, home boolean, dim int, part array<double>")
         cells = self.tmp.save("cells", cells)
-        size = cells.groupBy("label", "cell").agg(F.count_if("home").alias("h"), F.count("*").alias("m")).where("h > 0 and m > 1")
-        size = size.select("label", "cell", F.expr(f"cast(ceil(h / {PIECE}) as int)").alias("homes"), F.expr(f"cast(ceil(m / {PIECE}) as int)").alias("alls"))
-        rows = cells.join(size, ["label", "cell"])
-        piece = lambda n: F.expr(f"cast(pmod(xxhash64(id, 3), {n}) as int)")
-        one = rows.where("home").select("label", "cell", "id", "part", "budget", piece("homes").alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), F.lit(0).alias("side"))
-        two = rows.select("label", "cell", "id", "part", "budget", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("i"), piece("alls").alias("j"), F.lit(1).alias("side"))
-        pairs = one.unionByName(two).groupBy("label", "cell", "i", "j").applyInArrow(_near, "a long, b long").distinct()
-        x = classes.select(F.col("id").alias("a"), F.col("vec").alias("x"), F.col("label").alias("la"))
-        y = classes.select(F.col("id").alias("b"), F.col("vec").alias("y"), F.col("label").alias("lb"))
-        dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
-        cosine = dot("x", "y") / (F.sqrt(dot("x", "x")) * F.sqrt(dot("y", "y")))
-        return self.tmp.save("links", pairs.join(x, "a").join(y, "b").where((F.col("la") == F.col("lb")) & (cosine >= self.least)).select("a", "b").distinct())
+        near = pieces(cells, PIECE).groupBy(*_KEY, "i", "j").applyInArrow(_active(limit), "label string, block int, cell long, id long, home boolean")
+        near = self.tmp.save("near", near.distinct(), large=True)
+        self.tmp.drop("cells")
+        rows = pieces(near, 4 * PIECE).join(classes.select("id", "n", "vec").hint("merge"), "id")
+        found = rows.groupBy(*_KEY, "i", "j").applyInArrow(_links(limit, self.least), "a long, b long, n long")
+        found = found.groupBy("a", "b").agg(F.sum("n").alias("n"))
+        found = self.tmp.save("links", found, large=True)
+        self.tmp.drop("near")
+        return found
 
     def run(self, rows: DataFrame) -> DataFrame:
         keys, classes = self.classes(rows)
         links = self.links(classes)
-        joined = components(links, self.tmp)
-        size = classes.select("id", "n")
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        others = both.join(size.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("n").alias("others"))
+        joined = components(links.where("a <> b").select("a", "b"), self.tmp)
+        others = links.where("a = b").select("a", F.col("n").alias("others"))
         named = classes.select("key", "id", "n").join(others.withColumnRenamed("a", "id"), "id", "left").join(joined, "id", "left")
         named = self.tmp.save("named", named.select("key", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")))
-        self.tmp.drop("cells", "links")
+        self.tmp.drop("links", "classes")
         out = keys.join(named, "key", "left")
         component = F.coalesce("component", "vec_id")
         return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
