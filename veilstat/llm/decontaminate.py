@@ -13,14 +13,16 @@ Windows between two that meet, broken by an edit of at most ``near`` words put i
 Windows with fewer than ``literal`` words that are no slots in the item say little and are left out; an item that has
 no others keeps them and must meet word for word.
 
-A table of ``PLACES`` marks, set at the places that the benchmark's hashes point to, goes to all tasks; windows of documents whose place has no
-mark are left out where they are made. The benchmark's windows are broadcast when they take at most ``small`` bytes; else both sides
+A table of ``PLACES`` bits, set at the places that the benchmark's hashes point to, goes to all tasks; windows of documents whose place has no
+bit set are left out where they are made. The benchmark's windows are broadcast when they take at most ``small`` bytes; else both sides
 are shuffled by the hash. Either way the same windows meet. Documents are read once and only meetings are shuffled; a
 window that meets many items or documents is only as many rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,12 +52,36 @@ def place(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - PLACES.bit_length() + 1).cast("int")
 
 
-def windows(rows: DataFrame, key: list[str], sizes: list[int], typed_sizes: list[int], marks: bytes | None = None) -> DataFrame:
+def marked(h: Column, marks: Column) -> Column:
+    """Whether the hash points to a mark; marks are bits, 64 in a number."""
+    return F.getbit(F.get(marks, F.shiftrightunsigned(h, 70 - PLACES.bit_length() + 1).cast("int")), place(h).bitwiseAND(63)) == 1
+
+
+def runs(x: Column, n: int, kind: int) -> Column:
+    """Hash of the n numbers from each place on and of ``kind``: of two neighbouring runs that are half as long, and so on down."""
+    none = F.array().cast("array<bigint>")
+    if n == 1:
+        return F.transform(x, lambda a: F.xxhash64(F.lit(kind), a))
+    half = 1 << (n - 1).bit_length() - 1
+    both = lambda a, b: F.xxhash64(F.lit(kind), a, b)
+
+    def of(g: Column, r: Column) -> Column:
+        # Runs of ``half``, and of the rest behind each of them; there are as many as of the rest but the first ``half``.
+        m = F.size(r) - half
+        return F.when(m > 0, F.zip_with(F.slice(g, 1, m), F.slice(r, half + 1, m), both)).otherwise(none)
+
+    if n == 2 * half:
+        return let(runs(x, half, kind) if half > 1 else x, lambda g: of(g, g))
+    return let(runs(x, half, kind) if half > 1 else x, lambda g: of(g, runs(x, n - half, kind) if n - half > 1 else x))
+
+
+def windows(rows: DataFrame, key: list[str], sizes: list[int], typed_sizes: list[int], marks: list[int] | None = None) -> DataFrame:
     """key, literal, at, size, h, and what the hash leaves open: windows of words by their words (literal), and windows of places by
     their template. ``own`` has the window's words as hashes in lower case, ``slot`` the slot of each word or place, ``starts`` the first
     word of each place and one beyond the last. The two kinds never share a hash. With ``marks`` these are windows of documents: only
     those whose hash points to a mark, without the slots, and literal ones without any of these."""
     item = marks is None
+    bits = F.array().cast("array<bigint>") if item else F.split(F.lit(",".join(map(str, marks))), ",").cast("array<bigint>")
 
     def made(raw: Column) -> Column:
         return let(F.transform(raw, lambda x, i: F.struct(_slot(raw, x, i).alias("slot"), F.xxhash64(F.lower(x)).alias("own"), i.alias("i"))), lambda t: let(
@@ -71,36 +97,41 @@ def windows(rows: DataFrame, key: list[str], sizes: list[int], typed_sizes: list
                     p["places"]["slot"].alias("place_slot"),
                     F.transform(p["places"], lambda x: F.when(x["slot"] > 0, x["slot"].cast("long")).otherwise(x["own"])).alias("form"),
                     F.concat(p["places"]["i"], F.array(F.size(p["own"]))).alias("starts"),
+                    bits.alias("bits"),
                 ),
                 lambda q: F.concat(*[literal(q, n) for n in sizes], *[typed(q, n) for n in typed_sizes]),
             ),
         ))
 
-    def each(x: Column, n: int) -> Column:
-        return F.when(F.size(x) >= n, F.sequence(F.lit(1), F.size(x) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    def each(q: Column, hashes: Column, window: Callable[[Column, Column], Column]) -> Column:
+        """The windows at all places, or at those whose hash is marked."""
+
+        def of(hs: Column) -> Column:
+            places = F.when(F.size(hs) > 0, F.sequence(F.lit(1), F.size(hs))).otherwise(F.array().cast("array<int>"))
+            if not item:
+                places = F.filter(places, lambda i: marked(F.get(hs, i - 1), q["bits"]))
+            return F.transform(places, lambda i: window(i, F.get(hs, i - 1)))
+
+        return let(hashes, of)
 
     def window(kind: bool, i: Column, n: int, h: Column, own: Column | None, slot: Column | None, starts: Column | None) -> Column:
         none = lambda x, kind: (F.lit(None) if x is None else x).cast(f"array<{kind}>")
         return F.struct(F.lit(kind).alias("literal"), i.alias("at"), F.lit(n).alias("size"), h.alias("h"), none(own, "bigint").alias("own"), none(slot, "int").alias("slot"), none(starts, "int").alias("starts"))
 
-    def hashed(x: Column, n: int, first: int) -> Column:
-        all_ = F.transform(each(x, n), lambda i: F.struct(i.alias("i"), F.xxhash64(F.lit(first), F.slice(x, i, n)).alias("h")))
-        return all_ if item else F.filter(all_, lambda w: F.substring(F.lit(marks), place(w["h"]) + 1, F.lit(1)) == F.lit(b"\1"))
-
     def literal(q: Column, n: int) -> Column:
-        return F.transform(hashed(q["own"], n, -n), lambda w: window(True, w["i"], n, w["h"], None, F.slice(q["slot"], w["i"], n) if item else None, None))
+        return each(q, runs(q["own"], n, -n), lambda i, h: window(True, i, n, h, None, F.slice(q["slot"], i, n) if item else None, None))
 
     def typed(q: Column, n: int) -> Column:
         start = lambda i: F.get(q["starts"], i - 1)
         own = lambda i: F.slice(q["own"], start(i) + 1, start(i + n) - start(i))
-        return F.transform(hashed(q["form"], n, n), lambda w: window(False, w["i"], n, w["h"], own(w["i"]), F.slice(q["place_slot"], w["i"], n) if item else None, F.slice(q["starts"], w["i"], n + 1)))
+        return each(q, runs(q["form"], n, n), lambda i, h: window(False, i, n, h, own(i), F.slice(q["place_slot"], i, n) if item else None, F.slice(q["starts"], i, n + 1)))
 
     return rows.select(*key, F.inline(let(_tokens(F.col("text")), made)))
 
 
 def _places(t: Column) -> Column:
     """The words (slot, own, i) that start a place: each word that is no slot, and the first of adjacent slots of one type."""
-    return F.filter(t, lambda x, i: (x["slot"] == 0) | (i == 0) | (F.get(t["slot"], i - 1) != x["slot"]))
+    return F.filter(t, lambda x, i: (x["slot"] == 0) | (i == 0) | (F.get(t, i - 1)["slot"] != x["slot"]))
 
 
 def _filled() -> Column:
@@ -164,14 +195,16 @@ class Decontaminator:
     def _leaks(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         """Alignments that are leaks: doc_id, twin, item_id, the windows met (met, same) and of how many."""
         index, sizes, typed_sizes = self.index(benchmark)
-        marks = bytearray(PLACES)
-        for r in index.select(place(F.col("h")).alias("p")).distinct().collect():
-            marks[r.p] = 1
+        found = index.select(place(F.col("h")).alias("p")).distinct().groupBy(F.shiftright("p", 6).alias("word")).agg(F.collect_list(F.col("p").bitwiseAND(63)).alias("bits")).collect()
+        marks = [0] * (PLACES // 64)
+        for r in found:
+            value = sum(1 << b for b in r.bits)
+            marks[r.word] = value - (1 << 64) if value >> 63 else value
         words = F.coalesce(F.size("item_own"), F.lit(0)) + F.coalesce(F.size("item_starts"), F.lit(0)) + F.size("slot")
         if (index.agg(F.sum(8 * words + 100)).first()[0] or 0) <= self.small:
             index = F.broadcast(index)
         texts = docs.select(*self._named(docs), F.col("text").cast("string").alias("text"))
-        hits = windows(texts, ["doc_id", "twin"], sizes, typed_sizes, bytes(marks)).drop("size", "slot", "literal").join(index, "h")
+        hits = windows(texts, ["doc_id", "twin"], sizes, typed_sizes, marks).drop("size", "slot", "literal").join(index, "h")
         met = F.struct(F.col("item_at").alias("at"), "nth")
         one = (
             hits.select("doc_id", "twin", "item_id", "literal", (F.col("at") - F.col("item_at")).alias("shift"), "of", met.alias("met"), (F.col("literal") | (F.col("own") == F.col("item_own"))).alias("same"), _filled().alias("slots"))
