@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import let, running
+
 CONTROL = r"/?(?:s>|(?:INST|ROLE|NEXT)\])"
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -56,19 +58,16 @@ def format_chats(turns: DataFrame) -> DataFrame:
     got = got.select("conv_id", "blocks", shown.alias("shown"))
     # Places: blocks by their lengths so far, texts of assistant blocks after their mark and one another.
     spans = "array<struct<start:int,length:int>>"
-    own = lambda b, at: F.aggregate(
-        b["texts"],
-        F.struct((at + 3).alias("at"), F.array().cast(spans).alias("out")),
-        lambda acc, x: F.struct((acc["at"] + F.length(x) + 6).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), F.length(x).alias("length")))).cast(spans).alias("out")),
-    )["out"]
-    walk = F.aggregate(
-        F.sequence(F.lit(0), F.size("shown") - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out")),
-        lambda acc, k: F.struct(
-            (acc["at"] + F.length(F.get("shown", k))).alias("at"),
-            F.when(F.get("blocks", k)["role"] == "assistant", F.concat(acc["out"], own(F.get("blocks", k), acc["at"]))).otherwise(acc["out"]).cast(spans).alias("out"),
-        ),
-    )["out"]
+
+    def own(b: Column, at: Column) -> Column:
+        ends = running(F.transform(b["texts"], lambda x: F.length(x) + 6))
+        return let(ends, lambda e: F.transform(b["texts"], lambda x, j: F.struct((at + F.get(e, j) - F.length(x) - 3).alias("start"), F.length(x).alias("length"))))
+
+    def loss(e: Column) -> Column:
+        begin = lambda k: F.get(e, k) - F.length(F.get("shown", k))
+        return F.flatten(F.transform("blocks", lambda b, k: F.when(b["role"] == "assistant", own(b, begin(k))).otherwise(F.array().cast(spans)))).cast(spans)
+
+    walk = let(running(F.transform("shown", F.length)), loss)
     return got.select("conv_id", F.array_join("shown", "").alias("formatted"), walk.alias("loss"))
 
 

@@ -5,25 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch
-
-
-#: Tasks that share the links of one node.
-SALTS = 16
+from .store import Scratch, dealt, salt
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One contraction: each node's neighbours move to the smallest of them and itself.
 
     The large star moves the larger neighbours of every node; the small star moves the node and its smaller neighbours.
-    The minimum is a partial aggregate. Its join back is salted: a node's links are dealt by the other end into ``SALTS``
-    parts and its minimum is given to each, so that a hub is not one task's.
+    The minimum is a partial aggregate. Its join back deals a node's links by their other end, so that a hub is not one task's.
     """
     pairs = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
-    least = pairs.groupBy("a", salt.alias("salt")).agg(F.min("b").alias("m")).groupBy("a").agg(F.min("m").alias("m"))
-    least = least.select("a", (F.least("a", "m") if large else F.col("m")).alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    met = pairs.withColumn("salt", salt).join(least.hint("merge"), ["a", "salt"])
+    least = pairs.groupBy("a", salt("b")).agg(F.min("b").alias("m")).groupBy("a").agg(F.min("m").alias("m"))
+    met = dealt(pairs, least.select("a", (F.least("a", "m") if large else F.col("m")).alias("m")), "a", "b")
     if large:
         moved = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

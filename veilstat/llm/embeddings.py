@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import Scratch
+from .store import Scratch, dealt
 from .text import U, mix
 
 WIDTH, FILL, PIECE, SLACK = 8, 500, 1024, 1e-9
@@ -223,8 +223,10 @@ class EmbeddingJoin:
         joined = components(links.where("a <> b").select("a", "b"), self.tmp)
         others = links.where("a = b").select("a", F.col("n").alias("others"))
         named = classes.select("key", "id", "n").join(others.withColumnRenamed("a", "id"), "id", "left").join(joined, "id", "left")
-        named = self.tmp.save("named", named.select("key", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")))
+        named = named.select("key", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+        # A class of one row without links says nothing.
+        named = self.tmp.save("named", named.where("n_links > 0"))
         self.tmp.drop("links", "classes")
-        out = keys.join(named, "key", "left")
+        out = dealt(keys, named, "key", "vec_id", "left")
         component = F.coalesce("component", "vec_id")
         return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -37,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import SALTS, labels, stars
-from .store import Scratch
+from .components import labels, stars
+from .store import Scratch, dealt
 from .text import U, mix, slices, words
 
 SAMPLE = 0.3
@@ -162,13 +162,6 @@ class JaccardJoin:
     def _linked(self, at: DataFrame) -> DataFrame:
         return at.where(f"both * {self.den} >= {self.num} * either and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
 
-    @staticmethod
-    def _dealt(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
-        """Rows (region, id, ...) beside facts of their region: a region's rows are dealt by id into ``SALTS`` parts, its facts given to each."""
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        own = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-        return own.join(facts.select("*", salts).hint("merge"), ["region", "salt"], how).drop("salt")
-
     def _cores(self, members: DataFrame, joined: DataFrame) -> DataFrame:
         """region, id, core of region and id: the core is what lies outside the region's most frequent component.
 
@@ -176,13 +169,13 @@ class JaccardJoin:
         """
         rows = members.join(joined, "id", "left").select("region", "id", F.coalesce("component", "id").alias("component"))
         most = rows.groupBy("region", "component").agg(F.count("*").alias("m")).groupBy("region").agg(F.max(F.struct("m", "component")).alias("most"))
-        return self._dealt(rows, most).select("region", "id", (F.col("component") != F.col("most.component")).alias("core"))
+        return dealt(rows, most, "region", "id").select("region", "id", (F.col("component") != F.col("most.component")).alias("core"))
 
     def _split(self, regions: DataFrame, sets: DataFrame, state: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Voronoi regions with their boundaries, the regions that would not get smaller, and the components with the links found."""
         name = F.xxhash64("id", F.lit(k))
         pivots = regions.where("core").groupBy("region", F.pmod(name, F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct(name, "id"))["id"].alias("pivot")).select("region", "pivot")
-        at = self.tmp.save(f"at{k}", self._distances(self._dealt(regions, pivots), sets), large=True)
+        at = self.tmp.save(f"at{k}", self._distances(dealt(regions, pivots, "region", "id"), sets), large=True)
         state = self._joined(state, self._linked(at), f"pivots{k}")
         far = at.withColumn("far", 1 - F.col("both") / F.col("either"))
         near = far.groupBy("region", "id").agg(F.min(F.struct("far", "pivot")).alias("near"))
@@ -192,10 +185,10 @@ class JaccardJoin:
         work = inside.groupBy("region", "pivot").agg((F.count("*") * F.count_if("core")).alias("w")).groupBy("region").agg(F.sum("w").alias("w"))
         whole = regions.groupBy("region").agg((F.count("*") * F.count_if("core")).alias("all"))
         good = self.tmp.save(f"good{k}", work.join(whole, "region").where("2 * w <= all").select("region"))
-        made = self._dealt(inside, good).select(F.xxhash64("region", "pivot").alias("region"), "id", "core")
+        made = dealt(inside, good, "region", "id").select(F.xxhash64("region", "pivot").alias("region"), "id", "core")
         made = self.tmp.save(f"voronoi{k}", made)
         self.tmp.drop(f"at{k}", f"inside{k}")
-        return made, self._dealt(regions, good, "left_anti"), state
+        return made, dealt(regions, good, "region", "id", "left_anti"), state
 
     def joined(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(doc_id, n_shingles, set_key) of every row, and the stars of the components of classes, which go by their smallest doc_id."""
@@ -237,10 +230,10 @@ class JaccardJoin:
             size = regions.groupBy("region").agg(F.count("*").alias("m"), F.count_if("core").alias("c")).where("c > 0")
             size = tmp.save(f"size{k}", size.withColumn("large", F.expr(f"m > {8 * self.block} and c > {self.block}")))
             if k >= self.rounds or size.where("large").isEmpty():
-                rest.append(self._dealt(regions, size.select("region"), "left_semi"))
+                rest.append(dealt(regions, size.select("region"), "region", "id", "left_semi"))
                 break
-            rest.append(self._dealt(regions, size.where("not large").select("region"), "left_semi"))
-            regions, whole, state = self._split(self._dealt(regions, size.where("large").select("region"), "left_semi"), sets, state, k)
+            rest.append(dealt(regions, size.where("not large").select("region"), "region", "id", "left_semi"))
+            regions, whole, state = self._split(dealt(regions, size.where("large").select("region"), "region", "id", "left_semi"), sets, state, k)
             rest.append(whole)
             k += 1
         last = rest[0]
@@ -264,7 +257,7 @@ class JaccardJoin:
         half = self.block // 2
         size = regions.groupBy("region").agg(F.count("*").alias("m"), F.count_if("core").alias("c")).where("c > 0 and m > 1")
         size = size.select("region", F.expr(f"cast(ceil(c / {half}) as int)").alias("cores"), F.expr(f"cast(ceil(m / {half}) as int)").alias("alls"))
-        rows = self._dealt(regions, size)
+        rows = dealt(regions, size, "region", "id")
         part = lambda n: F.expr(f"cast(pmod(xxhash64(id, 7), {n}) as int)")
         one = rows.where("core").select("region", "id", part("cores").alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), F.lit(True).alias("core"))
         two = rows.select("region", "id", F.explode(F.sequence(F.lit(0), F.col("cores") - 1)).alias("i"), part("alls").alias("j"), F.lit(False).alias("core"))
@@ -274,8 +267,9 @@ class JaccardJoin:
     def run(self, docs: DataFrame) -> DataFrame:
         rows, state = self.joined(docs)
         joined = labels(state)
-        classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"))
-        named = classes.join(joined, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
+        classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last"))
+        # A class of one doc_id without links says nothing.
+        named = classes.join(joined.hint("merge"), "id", "left").where("id < last or component is not null").select("set_key", F.coalesce("component", "id").alias("component"))
         named = self.tmp.save("named", named)
-        linked = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
+        linked = dealt(rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")), named, "set_key", "doc_id", "left")
         return linked.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, dealt
 from .text import U, Words, slices, words
 from .tokenize import plain
 
@@ -225,8 +225,8 @@ class RepeatedPhrases:
         hits = met.join(parts, "shard").groupBy("doc_id").agg(
             F.collect_list(F.struct("shard", "parts")).alias("shards"), F.flatten(F.collect_list("own")).alias("own"), F.max(F.when(F.size("own") > 0, F.col("shard"))).alias("home")
         )
-        first = made.groupBy("text_key").agg(F.min("doc_id").alias("first"))
-        copies = made.select("doc_id", "text_key").join(first.hint("merge"), "text_key").where("first < doc_id").groupBy("doc_id").agg(F.collect_set("text_key").alias("copies"))
+        first = made.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+        copies = dealt(made.select("doc_id", "text_key"), first, "text_key", "doc_id").where("first < doc_id").groupBy("doc_id").agg(F.collect_set("text_key").alias("copies"))
         known = tmp.save("known", hits.join(copies.hint("merge"), "doc_id", "full"), large=True)
         tmp.drop("seeds", "often", "met")
         # What is known grows with the corpus, so it is never broadcast.

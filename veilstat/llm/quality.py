@@ -154,8 +154,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 6
     return fit(model, x, np.array([r.quality for r in got], float))
 
 
-def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with ``__score``: 0 to 1, higher where label 1 is likelier.
+def score(spark: SparkSession, docs: DataFrame, model: Model, name: str = "__score") -> DataFrame:
+    """All columns of ``docs`` with a score under a ``name`` that is free: 0 to 1, higher where label 1 is likelier.
 
     Null and empty texts have the score of a text without words; repeated rows come out as often as they went in; an empty table
     gives an empty result. Without labels every score is 0.5; with labels of one kind, their value.
@@ -165,12 +165,12 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = [shared.value.score(x) for _, _, x in shared.value.features(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*batch.schema.names, name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def op(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Scratch, let
+from .store import Scratch, free_name, let, running
 
 _KEY = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -72,15 +72,10 @@ def found(text: Column, low: Column, rule: Rule, rank: int) -> Column:
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"), F.split(text, pattern, -1).alias("pieces"))
 
     def walk(p: Column) -> Column:
-        # The place of match k is the length of all pieces up to it and of all matches before it.
-        match, piece = lambda k: F.get(p["match"], k), lambda k: F.get(p["pieces"], k)
-        kind = lambda k: F.when(F.length(F.regexp_extract(match(k), keep.pattern, keep.group)) >= keep.least, rule.kind) if keep else F.lit(rule.kind)
-        span = lambda at, k: F.struct((at + F.length(piece(k))).alias("start"), F.lit(rank).alias("rank"), kind(k).alias("kind"), (at + F.length(piece(k)) + F.length(match(k))).alias("end"))
-        return F.aggregate(
-            F.when(F.size(p["match"]) > 0, F.sequence(F.lit(0), F.size(p["match"]) - 1)).otherwise(F.array().cast("array<int>")),
-            F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
-            lambda acc, k: F.struct((acc["at"] + F.length(piece(k)) + F.length(match(k))).alias("at"), F.concat(acc["out"], F.array(span(acc["at"], k))).cast(SPAN).alias("out")),
-        )["out"]
+        # Match k ends where all pieces and matches up to it do.
+        kind = lambda m: F.when(F.length(F.regexp_extract(m, keep.pattern, keep.group)) >= keep.least, rule.kind) if keep else F.lit(rule.kind)
+        ends = running(F.transform(p["match"], lambda m, k: F.length(F.get(p["pieces"], k)) + F.length(m)))
+        return let(ends, lambda e: F.transform(p["match"], lambda m, k: F.struct((F.get(e, k) - F.length(m)).alias("start"), F.lit(rank).alias("rank"), kind(m).alias("kind"), F.get(e, k).alias("end"))))
 
     spans = F.filter(let(both, walk), lambda s: s["kind"].isNotNull())
     return F.when(marked(text, low, rule), spans).otherwise(F.array().cast(SPAN))
@@ -131,15 +126,15 @@ class SecretScan:
         rows.select("blob", F.lit(self.version).alias("rules"), F.when(F.col("text").isNull(), empty).otherwise(F.array_sort(spans)).cast(SPAN).alias("spans")).write.mode("append").parquet(self.ledger)
         return self.known().where(F.col("rules") == self.version).select("blob", "spans")
 
-    def run(self, docs: DataFrame) -> DataFrame:
-        """Every row of ``docs`` with ``spans``: of all kinds, by start, then in the order of the rules."""
-        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    def run(self, docs: DataFrame, name: str = "__spans") -> DataFrame:
+        """Every row of ``docs`` with its spans under a ``name`` that is free: of all kinds, by start, then in the order of the rules."""
+        text, key = F.coalesce(F.col("text").cast("string"), F.lit("")), free_name(docs, "__blob")
         blob = F.unhex(F.sha2(text.cast("binary"), 256))
         ledger = self.scan(docs.select(blob.alias("blob"), text.alias("text")))
         # A ledger extended by two runs at once may hold a blob twice, with equal spans.
         ledger = ledger if self.fresh else ledger.groupBy("blob").agg(F.max("spans").alias("spans"))
-        hits = ledger.where(F.size("spans") > 0)
-        return docs.withColumn("__blob", blob).join(hits.withColumnRenamed("blob", "__blob").withColumnRenamed("spans", "__spans"), "__blob", "left").withColumn("__spans", F.coalesce("__spans", F.array().cast(SPAN))).drop("__blob")
+        hits = ledger.where(F.size("spans") > 0).select(F.col("blob").alias(key), F.col("spans").alias(name))
+        return docs.withColumn(key, blob).join(hits, key, "left").withColumn(name, F.coalesce(name, F.array().cast(SPAN))).drop(key)
 
 
 def shown(spans: Column) -> Column:
@@ -156,16 +151,18 @@ def report(spark: SparkSession, docs: DataFrame, rules: tuple[Rule, ...] = RULES
 
 def redact(spark: SparkSession, docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every span, or run of overlapping spans, of its texts replaced; all columns and rows stay."""
-    rows = SecretScan(spark).run(docs)
-    text, spans = F.col("text"), F.col("__spans")
-    # Spans come by start: each keeps what lies between it and the furthest end so far.
-    walk = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+    name = free_name(docs, "__spans")
+    rows = SecretScan(spark).run(docs, name)
+    text, spans = F.col("text"), F.col(name)
+    # Spans come by start: each keeps what lies between it and the furthest end before it.
+    ends = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+
+    def masked(end: Column) -> Column:
+        def piece(s: Column, k: Column) -> Column:
+            at = F.coalesce(F.get(end, k - 1), F.lit(0))
+            return F.when(s["start"] >= at, F.concat(F.substring(text, at + 1, s["start"] - at), F.lit(mask))).otherwise("")
+
+        return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, F.element_at(end, -1) + 1, F.length(text)))
+
+    walk = let(ends, masked)
     return rows.withColumn("text", F.when(F.size(spans) > 0, walk).otherwise(text)).select(*docs.columns)

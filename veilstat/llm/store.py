@@ -23,6 +23,53 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(values: Column, merge: Callable[[Column, Column], Column] = lambda a, b: a + b, block: int = 256) -> Column:
+    """Sums (or what ``merge`` makes, from 0 on) of an array of whole numbers up to each place.
+
+    An array is built one entry at a time only inside blocks and over their ends, so that long arrays are not copied for each entry.
+    """
+
+    def along(xs: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            value = merge(acc["at"], x)
+            return F.struct(value.alias("at"), F.concat(acc["out"], F.array(value)).alias("out"))
+
+        return F.aggregate(xs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
+
+    cuts = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1, F.lit(block))).otherwise(F.array().cast("array<int>"))
+
+    def joined(own: Column) -> Column:
+        ends = along(F.transform(own, lambda b: F.element_at(b, -1)))
+        return let(ends, lambda e: F.flatten(F.transform(own, lambda b, k: F.transform(b, lambda x: merge(F.coalesce(F.get(e, k - 1), F.lit(0)), x)))))
+
+    return let(F.transform(cuts, lambda a: along(F.slice(values, a + 1, block))), joined)
+
+
+#: Parts into which the rows of a hot key are dealt.
+SALTS = 16
+
+
+def salt(by: str) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def dealt(rows: DataFrame, facts: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Rows beside the facts of their key: a key's rows are dealt by ``by`` into ``SALTS`` parts, its facts given to each.
+
+    Facts of many keys are never broadcast; so a key of a third of all rows, or of none (null), is not one task's at any size.
+    """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    return rows.select("*", salt(by)).join(facts.select("*", salts).hint("merge"), [key, "salt"], how).drop("salt")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a temporary folder of this machine only where the setting is absent (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
