@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
@@ -53,15 +51,13 @@ def scale_values(u: Column, var_type: str, low: float | None = None, high: float
     return F.element_at(F.array(*[F.lit(c) for c in categories]), (F.floor(u * len(categories)) + 1).cast("int"))
 
 
-@F.pandas_udf(DoubleType())
-def _secure(x: pd.Series) -> pd.Series:
-    bits = np.frombuffer(os.urandom(8 * len(x)), np.uint64) >> np.uint64(11)
-    return pd.Series((bits + np.float64(0.5)) / 2.0**53)
-
-
 def secure_uniform() -> Column:
-    """A fresh uniform for each row from the operating system's generator. It must be used in one action only."""
-    return _secure.asNondeterministic()(F.lit(0))
+    """A fresh uniform wherever it is evaluated, from the JVM's secure generator. It must be used in one action only.
+
+    Thirteen random hexadecimal digits of a random UUID. No Python worker takes part, and a condition around it guards it.
+    """
+    digits = F.substring(F.replace(F.expr("reflect('java.util.UUID', 'randomUUID')"), F.lit("-"), F.lit("")), 18, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def impute(x: Column, u: Column, var_type: str, low: float | None = None, high: float | None = None, categories: Sequence | None = None) -> Column:
@@ -89,10 +85,47 @@ def make_dummies(df: DataFrame, columns: Sequence[str], levels: dict[str, Sequen
     return df.select(*out)
 
 
+def order_statistics(df: DataFrame, name: str, ranks: Sequence[int], few: int = 1_000_000) -> list[float]:
+    """The values at these places (from 0) of the sorted values that are not missing.
+
+    Each is searched by brackets from an approximate quantile, counted exactly in one pass each, until a bracket holds at most ``few`` rows
+    or one value; so no task sorts or counts more than that, however many rows there are.
+    """
+    x = df.select(null_of_nan(df, name).cast("double").alias("x")).where("x is not null")
+    out = []
+    for rank in ranks:
+        low, high, below, inside, width = -math.inf, math.inf, 0, x.count(), 1e-3
+        while inside > few and low < high:
+            here = x.where(F.col("x").between(low, high))
+            at = (rank - below) / (inside - 1)
+            a, b = here.agg(F.percentile_approx("x", [max(0.0, at - width), min(1.0, at + width)], 10_000)).first()[0]
+            under, upto = here.agg(F.count_if(F.col("x") < a), F.count_if(F.col("x") <= b)).first()
+            if not below + under <= rank < below + upto:
+                width *= 2
+                continue
+            low, high, below, inside = a, b, below + under, upto - under
+        if low == high:
+            out.append(low)
+        else:
+            out.append(x.where(F.col("x").between(low, high)).agg(F.array_sort(F.collect_list("x"))[rank - below]).first()[0])
+    return out
+
+
+def quantiles(df: DataFrame, name: str, shares: Sequence[float]) -> list[float]:
+    """Quantiles that interpolate between the two values beside them; NaN without values."""
+    n = df.select(null_of_nan(df, name).alias("x")).where("x is not null").count()
+    if not n:
+        return [math.nan] * len(shares)
+    places = [(n - 1) * s for s in shares]
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+    value = dict(zip(ranks, order_statistics(df, name, ranks)))
+    return [value[math.floor(p)] + (value[math.ceil(p)] - value[math.floor(p)]) * (p - math.floor(p)) for p in places]
+
+
 def trim(df: DataFrame, name: str, alpha: float) -> DataFrame:
     """Rows whose value is between the alpha/2 and the 1 - alpha/2 quantile, which interpolate."""
-    bounds = df.agg(F.percentile(name, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("__q"))
-    return df.crossJoin(F.broadcast(bounds)).where(F.col(name).between(F.col("__q")[0], F.col("__q")[1])).drop("__q")
+    low, high = quantiles(df, name, [alpha / 2, 1 - alpha / 2])
+    return df.where(F.col(name).between(low, high))
 
 
 def row_norm(columns: Sequence[str], p: float = 2) -> Column:

@@ -37,33 +37,33 @@ def scale_epsilons(eps: Sequence[float], deltas: Sequence[float], budget: float,
 def update_parameters(params: Sequence[tuple[float | None, float]], hold: Sequence[int], epsilon: float, delta: float, err: float = 0.01) -> list[tuple[float, float]]:
     """New pairs (epsilon, delta) after releases were added or dropped; those at the places ``hold`` keep theirs.
 
-    One release gets all. If no epsilon is set they are equal; if some are not set, those count as the mean of the free ones that are.
+    Whatever is free is scaled by one factor, so only two things are to be found: which releases are free, and what they start from.
+    New ones (no epsilon yet) start at the mean of the free ones that have one. Where those differ, new ones are first given their
+    share beside an even split, and then stay while the others are scaled in proportion. A single release gets everything.
     """
-    if len(params) == 1:
+    k = len(params)
+    if k == 1:
         return [(epsilon, delta)]
-    eps, deltas = [p[0] or 0.0 for p in params], [p[1] for p in params]
-    unset = [i for i, e in enumerate(eps) if e == 0]
-    free = [i for i in range(len(eps)) if i not in set(hold)]
-
-    def scaled(values: list[float], over: list[int]) -> list[tuple[float, float]]:
-        return list(zip(scale_epsilons(values, deltas, epsilon, delta, over, err), deltas))
-
-    if len(unset) == len(eps):
-        return scaled([1.0] * len(eps), free)
-    if unset:
-        given = [eps[i] for i in free if i not in unset]
-        middle = sum(given) / len(given) if given else 1.0
-        even = scaled([middle if i in free else e for i, e in enumerate(eps)], free)
-        if not given or min(given) == max(given):
-            return even
-        share = even[free[0]][0]
-        eps = [share if i in unset else e for i, e in enumerate(eps)]
-        free = [i for i in free if i not in unset]
-    elif hold:
-        held = [(0.0 if i in free else e, d) for i, (e, d) in enumerate(zip(eps, deltas))]
-        if not is_private(held, delta, epsilon, err):
-            raise HeldOverBudget("error")
-    return scaled(eps, free)
+    deltas = [d for _, d in params]
+    free = set(range(k)) - set(hold)
+    new = {i for i, (e, _) in enumerate(params) if not e}
+
+    def scaled(start: dict[int, float], over: set[int]) -> list[float]:
+        return scale_epsilons([start[i] for i in range(k)], deltas, epsilon, delta, sorted(over), err)
+
+    known = {i: params[i][0] for i in range(k) if i not in new}
+    old = [known[i] for i in sorted(free - new)]
+    if not new:
+        if hold and not is_private([(0.0 if i in free else known[i], deltas[i]) for i in range(k)], delta, epsilon, err):
+            raise HeldOverBudget("the releases that are held need more than the whole budget")
+        found = scaled(known, free)
+    else:
+        level = sum(old) / len(old) if old else 1.0
+        found = scaled({i: level if i in free or not known else known.get(i, 0.0) for i in range(k)}, free)
+        if old and min(old) < max(old):
+            share = found[min(free)]
+            found = scaled(known | dict.fromkeys(new, share), free - new)
+    return list(zip(found, deltas))
 
 
 class Ledger:

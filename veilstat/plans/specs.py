@@ -71,7 +71,7 @@ class MeanSpec(_Spec):
         out = {"variable": self.variable, "epsilon": self.epsilon, "accuracy": self.accuracy}
         if self.mechanism == "mechanismBootstrap":
             x = self._column(df, uniform)
-            values = mechanisms.bootstrap(x, aggregate.declared_mean(F.col(self.variable), self.n), self.n, self.sens, self.epsilon, self.n_boot, source, seed)
+            (values,) = mechanisms.bootstrap(x, [aggregate.declared_mean(F.col(self.variable), self.n)], self.n, self.sens, self.epsilon, self.n_boot, source, seed)
             return out | {"release": values, "mean": sum(values) / len(values)} | mechanisms.bootstrap_error(values, self.n_boot, self.epsilon, self.sens)
         (value,) = mechanisms.laplace([self.true(df, uniform).first()[0]], self.sens, self.epsilon, source)
         half = cal.laplace_half_width(self.sens, self.epsilon, self.alpha)
@@ -79,7 +79,9 @@ class MeanSpec(_Spec):
         return out | (self.logical(value) if self.var_type == "logical" else {})
 
     def logical(self, p: float) -> dict[str, Any]:
-        """Standard deviation (none outside (0, 1)), median and counts of 0 and 1 that a mean of 0 and 1 implies."""
+        """Standard deviation (none outside (0, 1)), median and counts of 0 and 1 that a mean of 0 and 1 implies; none of them for NaN."""
+        if math.isnan(p):
+            return {"std_dev": None, "median": None, "histogram": None}
         ones = round(p * self.n)
         return {"std_dev": math.sqrt(p * (1 - p)) if p * (1 - p) > 0 else None, "median": 0 if p < 0.5 else 1, "histogram": {0: self.n - ones, 1: ones}}
 
@@ -143,6 +145,8 @@ class HistogramSpec(_Spec):
             self.rng = v.check_range(self.rng, self.var_type, empty_okay=True)
         chosen = histograms.mechanism_of(self.var_type, self.rng, self.bins, self.n_bins, self.granularity)
         self.mechanism = v.check_mechanism(self.mechanism or chosen, ("mechanismLaplace", "mechanismStability", "mechanismBootstrap"))
+        if self.mechanism == "mechanismBootstrap" and chosen == "mechanismStability":
+            raise ValueError("the bootstrap needs declared bins or a range")
         self.bins = histograms.bins_of(self.var_type, self.rng, self.bins, self.n_bins, self.impute, self.granularity, self.n) if self.mechanism != "mechanismStability" else self.bins
         if self.var_type == "logical" and not self.impute:
             self.var_type = "factor"
@@ -160,28 +164,49 @@ class HistogramSpec(_Spec):
             lambda a: cal.histogram_epsilon(self.mechanism, self.sens, a, self.delta, self.alpha),
         )
 
-    def true(self, df: DataFrame, uniform: Column | None = None) -> DataFrame:
-        """bin, count before noise; for numbers also the bins' labels. Every declared bin is there."""
+    def _bounded(self, df: DataFrame, uniform: Column | None, breaks: Sequence[float] | None = None) -> tuple[Column, DataFrame]:
+        """The variable as it is counted, and the bounded and imputed frame it comes from."""
         x = F.col(self.variable)
         if self.var_type in clean.NUMERIC:
-            breaks, rng = list(self.bins), self.rng
-            if rng is None:
-                breaks = mechanisms.observed_breaks(df, self.variable, self.n_bins)
-                rng = (breaks[0], breaks[-1])
-            own = mechanisms.prepared(df, [self.variable], self.var_type, [rng], [self.impute_rng or rng], uniform=uniform)
-            return aggregate.binned_counts(own, x, breaks)
+            rng = self.rng or (breaks[0], breaks[-1])
+            return x, mechanisms.prepared(df, [self.variable], self.var_type, [rng], [self.impute_rng or rng], uniform=uniform)
         if self.var_type == "logical":
-            own = mechanisms.prepared(df, [self.variable], "logical", [(0, 1)], [(0, 1)], uniform=uniform)
-            return aggregate.category_counts(own, x.cast("int"), self.bins)
+            return x.cast("int"), mechanisms.prepared(df, [self.variable], "logical", [(0, 1)], [(0, 1)], uniform=uniform)
         if self.var_type == "factor":
-            return aggregate.category_counts(df.select(clean.clamp(x.cast("int"), 0, 1).alias(self.variable)), x, self.bins)
-        own = mechanisms.prepared(df, [self.variable], self.var_type, levels=self.bins, impute_levels=self.impute_bins, uniform=uniform)
-        return aggregate.category_counts(own, x, self.bins)
+            return x, df.select(clean.clamp(x.cast("int"), 0, 1).alias(self.variable))
+        return x, mechanisms.prepared(df, [self.variable], self.var_type, levels=self.bins, impute_levels=self.impute_bins, uniform=uniform)
+
+    def true(self, df: DataFrame, uniform: Column | None = None) -> DataFrame:
+        """bin, count before noise; for numbers also the bins' labels. Every declared bin is there."""
+        if self.var_type not in clean.NUMERIC:
+            x, own = self._bounded(df, uniform)
+            return aggregate.category_counts(own, x, self.bins)
+        breaks = list(self.bins) if self.rng is not None else mechanisms.observed_breaks(df, self.variable, self.n_bins)
+        x, own = self._bounded(df, uniform, breaks)
+        return aggregate.binned_counts(own, x, breaks)
 
     def _order(self) -> list[str]:
         return aggregate.bin_labels(self.bins) if self.var_type in clean.NUMERIC else ["NA" if b is None else str(b) for b in self.bins]
 
-    def release(self, df: DataFrame, source: Uniforms | None = None, uniform: Column | None = None) -> dict[str, Any]:
+    def _replicas(self, df: DataFrame, source: Uniforms | None, uniform: Column | None, seed: int | None) -> dict[str, Any]:
+        """``n_boot`` releases of every bin from resampled rows, normalised each; their means are the release."""
+        x, own = self._bounded(df, uniform)
+        if self.var_type in clean.NUMERIC:
+            bin_ = aggregate.right_closed_bin(x, list(self.bins))
+            hits = [bin_ == k for k in range(len(self.bins) - 1)]
+        else:
+            shown = F.coalesce(x.cast("string"), F.lit("NA"))
+            hits = [shown == label for label in self._order()]
+        counts = mechanisms.bootstrap(own, [F.count_if(h).cast("double") for h in hits], self.n, self.sens, self.epsilon, self.n_boot, source, seed)
+        rows = [histograms.normalize(row, self.n) for row in zip(*counts)]
+        labels = self._order()
+        errors = [mechanisms.bootstrap_error(c, self.n_boot, self.epsilon, self.sens) for c in counts]
+        out = self.finish([(b, sum(r[k] for r in rows) / len(rows)) for k, b in enumerate(labels)])
+        return out | {"replicas": [dict(zip(labels, r)) for r in rows], "errors": dict(zip(labels, errors))}
+
+    def release(self, df: DataFrame, source: Uniforms | None = None, uniform: Column | None = None, seed: int | None = None) -> dict[str, Any]:
+        if self.mechanism == "mechanismBootstrap":
+            return self._replicas(df, source, uniform, seed)
         if self.mechanism == "mechanismStability":
             breaks = mechanisms.observed_breaks(df, self.variable, self.n_bins) if self.var_type in clean.NUMERIC else None
             if breaks:
@@ -270,7 +295,7 @@ class CovarianceSpec(_Spec):
         return own.agg(*aggregate.covariances(self.names))
 
     def release(self, df: DataFrame, source: Uniforms | None = None, uniform: Column | None = None) -> dict[str, Any]:
-        values, eps = [float(x) for x in self.true(df, uniform).first()], iter(self.epsilon)
+        values, eps = list(self.true(df, uniform).first()), iter(self.epsilon)
         scale = [next(eps) if s > 0 or not self.intercept else 1.0 for s in self.sens]
         matrix = regression.symmetric(mechanisms.laplace(values, self.sens, scale, source), self.names)
         out: dict[str, Any] = {"columns": self.names, "matrix": matrix, "epsilon": self.epsilon, "accuracy": self.accuracy, "global_eps": self.global_eps}
@@ -333,4 +358,4 @@ def fused(df: DataFrame, specs: Sequence[MeanSpec | VarianceSpec], uniform: Colu
     u = uniform if uniform is not None else clean.secure_uniform()
     own = df.select(*[clean.impute(clean.clamp(clean.null_of_nan(df, s.variable), *s.rng), u, s.var_type, *s.impute_rng).alias(f"x{k}") for k, s in enumerate(specs)])
     row = own.agg(*[(F.avg if isinstance(s, MeanSpec) else F.var_samp)(f"x{k}") for k, s in enumerate(specs)]).first()
-    return [float(x) for x in row]
+    return [math.nan if x is None else float(x) for x in row]

@@ -10,12 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import calibration as cal
 from .functions import noise as nz
 from .operators import aggregate, clean, mechanisms
-from .plans import budget, composition, glm, histograms, specs
+from .plans import budget, composition, glm, histograms, specs, trees
 from .sources import metadata
 from .sources.tables import table
 
@@ -173,11 +172,8 @@ def true_mean_clamped(spark, sf):
 """)
 def mean_release_fixed_u(spark, sf):
     df = lineitem(spark, sf).select("l_orderkey", "l_linenumber", holed().alias("l_quantity"))
-    spec = specs.MeanSpec(**MEAN)
-    x = clean.impute(clean.clamp(F.col("l_quantity"), 5, 40), nz.keyed_uniform(line_key(), 5), "numeric", 5, 40)
-    scale, half = spec.sens / spec.epsilon, cal.laplace_half_width(spec.sens, spec.epsilon, spec.alpha)
-    value = F.avg(x) + nz.laplace_quantile(0.3, b=scale)
-    return df.agg(value.alias("v")).select(F.lit("l_quantity").alias("variable"), r6(F.col("v")).alias("release"), r6(F.lit(spec.accuracy), 8).alias("accuracy"), F.lit(0.1).alias("epsilon"), r6(F.col("v") - half).alias("lower"), r6(F.col("v") + half).alias("upper"))
+    got = specs.release_frame(df, specs.MeanSpec(**MEAN).release(df, nz.Uniforms(fixed=[0.3]), nz.keyed_uniform(line_key(), 5)))
+    return got.select("variable", "epsilon", r6(F.col("accuracy"), 8).alias("accuracy"), *[r6(F.col(c)).alias(c) for c in ("release", "lower", "upper")])
 
 
 @register("""
@@ -186,9 +182,13 @@ def mean_release_fixed_u(spark, sf):
     FROM (SELECT avg(quality) AS m, count(*) AS n FROM labels)
 """)
 def mean_logical_post(spark, sf):
-    df = table(spark, sf, "labels").agg(F.avg("quality").alias("m"), F.count("*").alias("n"))
-    m, ones = F.col("m"), F.bround(F.col("m") * F.col("n")).cast("long")
-    return df.select(r6(m, 8).alias("mean"), r6(F.when(m * (1 - m) > 0, F.sqrt(m * (1 - m))), 8).alias("std_dev"), F.when(m < 0.5, 0).otherwise(1).alias("median"), (F.col("n") - ones).alias("zeros"), ones.alias("ones"))
+    """The size of the table is public here."""
+    df = table(spark, sf, "labels")
+    spec = specs.MeanSpec("mechanismLaplace", "logical", "quality", df.count(), epsilon=1.0)
+    got = spec.release(df, nz.Uniforms.silent(), nz.keyed_uniform(F.lit("x"), 1))
+    row = (got["release"], got["std_dev"], got["median"], got["histogram"][0], got["histogram"][1])
+    made = spark.createDataFrame([row], "mean double, std_dev double, median int, zeros long, ones long")
+    return made.withColumns({c: r6(F.col(c), 8) for c in ("mean", "std_dev")})
 
 
 @register(f"SELECT round(var_samp({clamped('o_totalprice', 10000, 400000)}), 2) AS variance FROM orders")
@@ -204,8 +204,9 @@ def true_variance_clamped(spark, sf):
 def variance_release_fixed_u(spark, sf):
     spec = specs.VarianceSpec("mechanismLaplace", "numeric", "x", N, (0, 10), epsilon=0.5)
     df = lineitem(spark, sf).select((F.col("l_discount") * 100).alias("x"))
-    value = F.var_samp("x") + nz.laplace_quantile(0.8, b=spec.sens / spec.epsilon)
-    return df.agg(value.alias("v")).select(r6(F.col("v"), 4).alias("release"), r6(F.when(F.col("v") >= 0, F.sqrt("v")), 4).alias("std_dev"))
+    got = spec.release(df, nz.Uniforms(fixed=[0.8]), nz.keyed_uniform(F.lit("x"), 1))
+    made = spark.createDataFrame([(got["release"], got["std_dev"])], "release double, std_dev double")
+    return made.select(r6(F.col("release"), 4).alias("release"), r6(F.col("std_dev"), 4).alias("std_dev"))
 
 
 @register("SELECT round(avg(l_quantity), 6) AS mean_quantity, round(var_samp(l_discount), 8) AS var_discount, round(avg(l_tax), 8) AS mean_tax FROM lineitem")
@@ -241,7 +242,7 @@ def mean_bootstrap(spark, sf):
     FROM (SELECT *, ((l_orderkey + l_linenumber) % 4) AS times FROM lineitem) WHERE times > 0 GROUP BY times
 """)
 def bootstrap_partition_sum(spark, sf):
-    drawn = lineitem(spark, sf).withColumn("__times", (F.col("l_orderkey") + F.col("l_linenumber")) % 4).where("__times > 0")
+    drawn = lineitem(spark, sf).withColumn("__times", (F.col("l_orderkey") + F.col("l_linenumber")) % 4).where("__times > 0").withColumn("__replica", F.lit(0))
     pieces = mechanisms.bootstrap_pieces(drawn, F.struct(aggregate.declared_mean(F.col("l_quantity"), N).alias("v"), F.count("*").alias("n")))
     return pieces.select("times", r6(F.col("value.v")).alias("value"), F.col("value.n").alias("n_rows"))
 
@@ -306,8 +307,9 @@ def hist_logical_3bin(spark, sf):
     return specs.HistogramSpec("logical", "quality", 400, epsilon=1.0).true(table(spark, sf, "labels").select(_holed_quality()))
 
 
-def _segments(spark, sf) -> DataFrame:
-    return hist_categorical(spark, sf)
+def _segments(spark, sf) -> tuple[list[str], list[float]]:
+    rows = sorted((r["bin"], float(r["count"])) for r in hist_categorical(spark, sf).collect())
+    return [b for b, _ in rows], [c for _, c in rows]
 
 
 _SEG = "(SELECT c_mktsegment AS bin, count(*) AS c FROM customer GROUP BY 1)"
@@ -315,21 +317,20 @@ _SEG = "(SELECT c_mktsegment AS bin, count(*) AS c FROM customer GROUP BY 1)"
 
 @register(f"SELECT bin, round(least(greatest(c, 0), 1200) * 1200.0 / sum(least(greatest(c, 0), 1200)) OVER (), 6) AS value FROM {_SEG}")
 def hist_normalised(spark, sf):
-    held = clean.clamp(F.col("count").cast("double"), 0.0, 1200.0)
-    got = _segments(spark, sf)
-    total = got.agg(F.sum(held).alias("total"))
-    return got.crossJoin(F.broadcast(total)).select("bin", r6(held / F.col("total") * 1200).alias("value"))
+    bins, counts = _segments(spark, sf)
+    return spark.createDataFrame([(b, round(x, 6)) for b, x in zip(bins, histograms.normalize(counts, 1200))], "bin string, value double")
 
 
 @register(f"SELECT bin, round(CASE WHEN c = 0 THEN 0 ELSE greatest(0, c - ln(20) * 2 / 0.1) END, 6) AS lower, round(CASE WHEN c = 0 THEN ln(20) * 2 / 0.1 ELSE c + ln(20) * 2 / 0.1 END, 6) AS upper FROM {_SEG}")
 def hist_ci(spark, sf):
-    acc, c = cal.laplace_accuracy(2, 0.1), F.col("count")
-    return _segments(spark, sf).select("bin", r6(F.when(c == 0, 0.0).when(c < acc, 0.0).otherwise(c - acc)).alias("lower"), r6(F.when(c == 0, acc).otherwise(c + acc)).alias("upper"))
+    bins, counts = _segments(spark, sf)
+    rows = [(b, round(low, 6), round(high, 6)) for b, (low, high) in zip(bins, histograms.intervals(counts, cal.laplace_accuracy(2, 0.1)))]
+    return spark.createDataFrame(rows, "bin string, lower double, upper double")
 
 
 @register(f"SELECT round(sum(power(c / 1500.0, 2)), 8) AS herfindahl FROM {_SEG}")
 def hist_herfindahl(spark, sf):
-    return _segments(spark, sf).agg(r6(F.sum(F.pow(F.col("count") / 1500.0, 2)), 8).alias("herfindahl"))
+    return spark.createDataFrame([(round(histograms.herfindahl(_segments(spark, sf)[1], 1500), 8),)], "herfindahl double")
 
 
 @register("SELECT round(m, 8) AS mean, CASE WHEN m < 0.5 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS median, round(m * (1 - m), 8) AS variance, round(sqrt(m * (1 - m)), 8) AS std_dev FROM (SELECT avg(quality) AS m FROM labels WHERE doc_id % 3 <> 0)")
@@ -422,13 +423,10 @@ def _tree(spark, sf) -> DataFrame:
     return spec.true(table(spark, sf, "part"), nz.keyed_uniform(F.lit("x"), 1))
 
 
-def _cdf(spark, sf) -> DataFrame:
+def _cdf(spark, sf) -> list[tuple[float, float]]:
     """The distribution at the terminal nodes' edges. There are as many rows as nodes of one level."""
-    order = Window.orderBy("node")
-    terminal = _tree(spark, sf).where("node >= 32")
-    run = F.sum("count").over(order) / F.sum("count").over(Window.partitionBy())
-    points = terminal.select(F.least(1 + 2.0 * (F.col("node") - 31), F.lit(50.0)).alias("val"), run.alias("share"))
-    return points.unionByName(spark.createDataFrame([(1.0, 0.0)], "val double, share double"))
+    rows = sorted((r["node"], float(r["count"])) for r in _tree(spark, sf).where("node >= 32").collect())
+    return trees.cdf([c for _, c in rows], 1, 50, 1)
 
 
 @register(_TREE + "SELECT node, c AS count FROM nodes")
@@ -438,26 +436,50 @@ def tree_nodes(spark, sf):
 
 @register(_TREE + "SELECT CAST(val AS DOUBLE) AS val, round(share, 8) AS share FROM cdf")
 def tree_cdf(spark, sf):
-    return _cdf(spark, sf).select("val", r6(F.col("share"), 8).alias("share"))
+    return spark.createDataFrame([(x, round(p, 8)) for x, p in _cdf(spark, sf)], "val double, share double")
 
 
 @register(_TREE + "SELECT round(sum(d * val), 6) AS mean FROM (SELECT val, share - lag(share, 1, 0.0) OVER (ORDER BY val, share) AS d FROM cdf)")
 def tree_mean(spark, sf):
-    step = F.col("share") - F.lag("share", 1, 0.0).over(Window.orderBy("val", "share"))
-    return _cdf(spark, sf).select((step * F.col("val")).alias("x")).agg(r6(F.sum("x")).alias("mean"))
+    return spark.createDataFrame([(round(trees.mean(_cdf(spark, sf)), 6),)], "mean double")
 
 
 @register(_TREE + "SELECT CAST(p AS DOUBLE) AS p, round(avg(val), 6) AS value FROM (SELECT p, val, rank() OVER (PARTITION BY p ORDER BY abs(p - share)) AS r FROM cdf, (VALUES (0.1), (0.25), (0.5), (0.9)) q(p)) WHERE r = 1 GROUP BY p")
 def tree_percentiles(spark, sf):
-    ps = spark.createDataFrame([(0.1,), (0.25,), (0.5,), (0.9,)], "p double")
-    near = F.rank().over(Window.partitionBy("p").orderBy(F.abs(F.col("p") - F.col("share"))))
-    return _cdf(spark, sf).crossJoin(F.broadcast(ps)).withColumn("r", near).where("r = 1").groupBy("p").agg(r6(F.avg("val")).alias("value"))
-
-
-@register()
+    ps = [0.1, 0.25, 0.5, 0.9]
+    return spark.createDataFrame([(p, round(x, 6)) for p, x in zip(ps, trees.percentiles(_cdf(spark, sf), ps))], "p double, value double")
+
+
+def _efficient_sql() -> str:
+    """Both sweeps level by level. All nodes of a level have equal weights: a node's own estimate of variance v beside one of variance u has u / (u + v)."""
+    own, steps, below, above = 1.0, [], {5: 1.0}, {0: 0.0}
+    for k in range(4, 0, -1):
+        w = 2 * below[k + 1] / (own + 2 * below[k + 1])
+        below[k] = own * w
+        steps.append(f"u{k} AS (SELECT n.node, {w!r} * n.x + {1 - w!r} * sum(c.x) AS x FROM noisy n JOIN u{k + 1} c ON c.node // 2 = n.node GROUP BY n.node, n.x)")
+    steps.append("below AS (SELECT node, greatest(x, 0) AS x FROM (" + " UNION ALL ".join(f"SELECT * FROM u{k}" for k in range(1, 6)) + "))")
+    for k in range(1, 6):
+        u = above[k - 1] + below[k]
+        w = u / (own + u)
+        above[k] = own * w
+        steps.append(f"d{k} AS (SELECT n.node, {w!r} * n.x + {1 - w!r} * (p.x - s.x) AS x FROM noisy n JOIN d{k - 1} p ON p.node = n.node // 2 JOIN below s ON s.node = xor(n.node, 1))")
+    steps.append("above AS (SELECT node, greatest(x, 0) AS x FROM (" + " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(6)) + "))")
+    for k in range(1, 6):
+        u = above[k - 1] + below[k]
+        w = u / (below[k] + u)
+        steps.append(f"e{k} AS (SELECT b.node, {w!r} * b.x + {1 - w!r} * (p.x - s.x) AS x FROM below b JOIN above p ON p.node = b.node // 2 JOIN below s ON s.node = xor(b.node, 1) WHERE b.node BETWEEN {1 << k} AND {(2 << k) - 1})")
+    every = " UNION ALL ".join(["SELECT 1 AS node, 2000.0 AS x", *(f"SELECT * FROM e{k}" for k in range(1, 6))])
+    return (
+        _TREE.rstrip()
+        + f", noisy AS (SELECT node, greatest(round_even(c + 2 * log2(50) * ln(0.8), 0), 0)::DOUBLE AS x FROM nodes), u5 AS (SELECT * FROM noisy WHERE node >= 32), d0 AS (SELECT 1 AS node, 2000.0::DOUBLE AS x), {', '.join(steps)} "
+        + f"SELECT CAST(n.node AS INTEGER) AS node, n.x AS noisy, round_even(greatest(e.x, 0), 0)::DOUBLE AS efficient FROM noisy n JOIN ({every}) e ON e.node = n.node"
+    )
+
+
+@register(_efficient_sql())
 def tree_efficient(spark, sf):
     spec = specs.TreeSpec("p_size", 2000, (1, 50), 1, "integer", epsilon=1.0, percentiles=(0.25, 0.75))
-    got = spec.release(table(spark, sf, "part"), nz.Uniforms(seed=5), nz.keyed_uniform(F.lit("x"), 1))
+    got = spec.release(table(spark, sf, "part"), nz.Uniforms(fixed=[0.4]), nz.keyed_uniform(F.lit("x"), 1))
     return spark.createDataFrame([(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(got["release"], got["efficient"]))], "node int, noisy double, efficient double")
 
 
@@ -537,9 +559,31 @@ def kov_het_ledger(spark, sf):
     return budget.Ledger(spark, 1.0, 1e-6, LEDGER_ROWS).frame().agg(r6(budget.upper_bound_column(1e-6), 8).alias("epsilon"))
 
 
-@register()
+def _pascal(k: int) -> list[int]:
+    row = [1]
+    for i in range(k):
+        row.append(row[-1] * (k - i) // (i + 1))
+    return row
+
+
+_KOV = [(k, e) for k in (2, 5, 10, 30) for e in (0.05, 0.2)]
+
+
+@register(f"""
+    WITH RECURSIVE c AS (SELECT * FROM (VALUES {", ".join(f"({k}, {e}::DOUBLE, {i}, {x}::DOUBLE)" for k, e in _KOV for i, x in enumerate(_pascal(k)))}) t(k, e, i, n)),
+    h AS (
+        SELECT k, e, 0 AS step, 0.0::DOUBLE AS low, k * e AS high FROM c GROUP BY k, e
+        UNION ALL
+        SELECT h.k, h.e, h.step + 1, CASE WHEN s.good THEN h.low ELSE (h.low + h.high) / 2 END, CASE WHEN s.good THEN (h.low + h.high) / 2 ELSE h.high END
+        FROM h, LATERAL (
+            SELECT coalesce(sum(c.n * greatest(exp(c.i * h.e) - exp((h.low + h.high) / 2 + (h.k - c.i) * h.e), 0)), 0) <= power(1 + exp(h.e), h.k) * (1 - (1 - 1e-6) / power(1 - 1e-9, h.k)) AS good
+            FROM c WHERE c.k = h.k AND c.e = h.e
+        ) s WHERE h.step < 50
+    )
+    SELECT k, e AS epsilon, round(high, 6) AS total FROM h WHERE step = 50
+""")
 def kov_hom(spark, sf):
-    rows = [(k, e, composition.optimal_homogeneous([(e, 1e-9)] * k, 1e-6)) for k in (2, 5, 10, 30) for e in (0.05, 0.2)]
+    rows = [(k, e, round(composition.optimal_homogeneous([(e, 1e-9)] * k, 1e-6), 6)) for k, e in _KOV]
     return spark.createDataFrame(rows, "k int, epsilon double, total double")
 
 
@@ -563,16 +607,35 @@ def update_parameters(spark, sf):
 def _glm(spark, sf, objective: str, formula: str, rng, **more) -> DataFrame:
     df = lineitem(spark, sf).select("l_orderkey", "l_quantity", "l_discount", (F.col("l_quantity") > 25).cast("double").alias("large"))
     spec = glm.GlmSpec(formula, objective, N, rng, epsilon=1.0, **more)
-    got = spec.release(df, nz.Uniforms(seed=9), nz.keyed_uniform(F.lit("x"), 1), seed=1)
-    return spark.createDataFrame([(k, float(x)) for k, x in got["coefficients"].items()], "term string, estimate double")
-
-
-@register()
+    got = spec.release(df, nz.Uniforms.silent(), nz.keyed_uniform(F.lit("x"), 1))
+    return spark.createDataFrame([(k, round(float(x), 6)) for k, x in got["coefficients"].items()], "term string, estimate double")
+
+
+def _newton_sql(y: str, first: str, second: str, ridge: float) -> str:
+    """Newton's method over the few distinct pairs of y and x, x over its largest value; ``z`` is the linear predictor."""
+    return f"""
+        WITH RECURSIVE m AS (SELECT max(abs(l_discount)) AS m FROM lineitem),
+        d AS (SELECT {y} AS y, l_discount / (SELECT m FROM m) AS x, count(*)::DOUBLE AS w FROM lineitem GROUP BY ALL),
+        it AS (
+            SELECT 0 AS k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b
+            UNION ALL
+            SELECT it.k + 1, it.a + (s.f0 * s.h11 - s.f1 * s.h01) / (s.h00 * s.h11 - s.h01 * s.h01), it.b + (s.f1 * s.h00 - s.f0 * s.h01) / (s.h00 * s.h11 - s.h01 * s.h01)
+            FROM it, LATERAL (
+                SELECT sum(w * {first}) - {ridge} * it.a AS f0, sum(w * x * {first}) - {ridge} * it.b AS f1,
+                       sum(w * {second}) + {ridge} AS h00, sum(w * x * {second}) AS h01, sum(w * x * x * {second}) + {ridge} AS h11
+                FROM (SELECT *, it.a + it.b * x AS z FROM d)
+            ) s WHERE it.k < 40
+        )
+        SELECT unnest(['intercept', 'l_discount']) AS term, unnest([round(a, 6), round(b / (SELECT m FROM m), 6)]) AS estimate FROM it WHERE k = 40
+    """
+
+
+@register("SELECT unnest(['intercept', 'l_quantity']) AS term, unnest([round(regr_intercept(l_discount, l_quantity), 6), round(regr_slope(l_discount, l_quantity), 6)]) AS estimate FROM lineitem")
 def glm_ols(spark, sf):
     return _glm(spark, sf, "ols", "l_discount ~ l_quantity", [(0, 0.1), (1, 50)])
 
 
-@register()
+@register(_newton_sql("(l_quantity > 25)::DOUBLE", "(y - 1 / (1 + exp(-z)))", "(1 / (1 + exp(-z)) * (1 - 1 / (1 + exp(-z))))", 1.0))
 def glm_logit(spark, sf):
     return _glm(spark, sf, "logit", "large ~ l_discount", [(0, 1), (0, 0.1)])
 
@@ -582,11 +645,30 @@ def glm_probit(spark, sf):
     return _glm(spark, sf, "probit", "large ~ l_discount", [(0, 1), (0, 0.1)])
 
 
-@register()
+@register(_newton_sql("l_quantity", "(y - exp(z))", "exp(z)", 0.0))
 def glm_poisson(spark, sf):
     return _glm(spark, sf, "poisson", "l_quantity ~ l_discount", [(1, 50), (0, 0.1)])
 
 
+@register(_newton_sql("least(greatest(l_quantity, 1), 50)", "(y - exp(z))", "exp(z)", 0.0))
+def glm_secure_imputation_free(spark, sf):
+    """Without missing values nothing random is left, so secure imputation gives the same."""
+    df = lineitem(spark, sf)
+    got = glm.GlmSpec("l_quantity ~ l_discount", "poisson", N, [(1, 50), (0, 0.1)], epsilon=1.0).release(df, nz.Uniforms.silent())
+    return spark.createDataFrame([(k, round(float(x), 6)) for k, x in got["coefficients"].items()], "term string, estimate double")
+
+
+@register("SELECT c_mktsegment AS bin, count(*)::DOUBLE AS total FROM customer GROUP BY 1")
+def hist_bootstrap_draws(spark, sf):
+    """Every row is drawn once on average: here each replica takes every row exactly once, so that the sums are the counts."""
+    df = table(spark, sf, "customer").select("c_mktsegment").withColumn("__times", F.lit(1)).withColumn("__replica", F.lit(0))
+    counts = [F.count_if(F.col("c_mktsegment") == b).cast("double").alias(b) for b in ALL_SEGMENTS]
+    got = mechanisms.bootstrap_pieces(df, F.struct(*counts)).first()
+    pieces = [[(got["times"], got["value"][b])] for b in ALL_SEGMENTS]
+    rows = [(b, float(round(mechanisms.bootstrap_replication(p, 1500, 0.0, 1.0, nz.Uniforms.silent())))) for b, p in zip(ALL_SEGMENTS, pieces)]
+    return spark.createDataFrame(rows, "bin string, total double")
+
+
 @register()
 def release_documents(spark, sf):
     spec = specs.MeanSpec(**MEAN)

@@ -66,12 +66,28 @@ def catalog_json() -> str:
     return json.dumps({"DP Statistics": [{name.lower(): entry} for name, entry in CATALOG.items()]})
 
 
-MECHANISM_NAMES = {"mechanismLaplace": "Laplace", "mechanismGaussian": "Gaussian", "mechanismBootstrap": "Bootstrap"}
+#: What the exchange format has names for. Stability histograms are Laplace noise and a threshold.
+MECHANISM_NAMES = {"mechanismLaplace": "Laplace", "mechanismStability": "Laplace", "mechanismGaussian": "Gaussian", "mechanismBootstrap": "Bootstrap"}
+STATISTICS = ("mean", "histogram", "covariance", "variance")
+
+
+def _constraint(spec: Any, value: Any) -> dict[str, Any]:
+    """The declared bounds and the number of rows. The format wants two numbers: categories count as 0, 1, ... and are listed beside."""
+    rng = getattr(spec, "rng", None)
+    if rng is not None:
+        low, high = rng[0] if isinstance(rng[0], (list, tuple)) else rng
+        return {"constraint": {"lowerbound": low, "upperbound": high}, "n": spec.n}
+    bins = ["NA" if b is None else b for b in spec.bins] if getattr(spec, "bins", None) else list(value)
+    return {"constraint": {"lowerbound": 0, "upperbound": max(len(bins) - 1, 0)}, "n": spec.n, "bins": bins}
 
 
 def release_entry(statistic: str, spec: Any, result: dict[str, Any], batch: int = 1, node: int = 0) -> dict[str, Any]:
-    """One release in the exchange format: what was asked, its privacy loss, accuracy and value."""
-    rng = spec.rng if not isinstance(spec.rng[0], (list, tuple)) else spec.rng[0]
+    """One release in the exchange format: what was asked, its privacy loss, accuracy and value.
+
+    The format knows means, variances, histograms and covariances; anything else, such as a tree, is a ValueError.
+    """
+    if statistic not in STATISTICS:
+        raise ValueError(f"the exchange format has no statistic {statistic!r}; it has {', '.join(STATISTICS)}")
     delta = getattr(spec, "delta", 0.0) or 0.0
     epsilon = sum(spec.epsilon) if isinstance(spec.epsilon, list) else spec.epsilon
     loss = {"name": "approx dp", "epsilon": epsilon, "delta": delta} if delta else {"name": "pure", "epsilon": epsilon}
@@ -83,7 +99,7 @@ def release_entry(statistic: str, spec: Any, result: dict[str, Any], batch: int
         "batch": batch,
         "nodeId": node,
         "accuracy": {"accuracyValue": accuracy, "alpha": spec.alpha},
-        "algorithmInfo": {"name": statistic, "argument": {"constraint": {"lowerbound": rng[0], "upperbound": rng[1]}, "n": spec.n}},
+        "algorithmInfo": {"name": statistic, "argument": _constraint(spec, value)},
         "privacyLoss": loss,
         "releaseInfo": {"mechanism": MECHANISM_NAMES[spec.mechanism], "releaseValue": _plain(value)},
         "postprocess": False,
