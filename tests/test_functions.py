@@ -65,7 +65,7 @@ def test_gamma_and_chi_squared():
 def test_messages():
     cases = [
         (lambda: v.check_empty(None), "Input may not be NA or NULL."),
-        (lambda: v.check_numeric("a"), "not of type numeric"),
+        (lambda: v.check_numeric("a"), "a is no number"),
         (lambda: v.check_length([1], 2), "Input was expected to be of length  2  but is instead of length  1"),
         (lambda: v.check_n(0.5), "n must be a positive whole number."),
         (lambda: v.check_n(-1), "n must be a positive whole number."),
@@ -73,15 +73,15 @@ def test_messages():
         (lambda: v.check_range([1]), "requires upper and lower values as vector of length 2."),
         (lambda: v.check_range(None), "Input range may not be empty."),
         (lambda: v.check_range([1, None]), "Input range may not contain NA values."),
-        (lambda: v.check_ranges(5, "numeric", 2), "Input rng is not of expected format."),
+        (lambda: v.check_ranges(5, "numeric", 2), "one pair for each column"),
         (lambda: v.check_epsilon(-1), "must be a value greater than zero."),
-        (lambda: v.check_epsilon([1, 0.1]), "must be a single value, but is currently a vector of length 2"),
-        (lambda: v.check_epsilon([1, 1], 3), "improper length"),
-        (lambda: v.check_accuracy(0), "Accuracy must be greater than 0."),
+        (lambda: v.check_epsilon([1, 0.1]), "one epsilon is wanted here, not 2"),
+        (lambda: v.check_epsilon([1, 1], 3), "3 epsilons are wanted, but there are 2"),
+        (lambda: v.check_accuracy(0), "an accuracy is a positive number"),
         (lambda: v.check_variable_type("x", ("numeric",)), "Variable type x should be one of numeric"),
-        (lambda: v.check_mechanism("x"), "Input mechanism x should be one of"),
-        (lambda: v.check_epsilon_dist([0.5, 0.4], 2), "together sum to 1"),
-        (lambda: v.check_accuracy_vals([0, 1], 2), "greater than 0"),
+        (lambda: v.check_mechanism("x"), "no mechanism 'x' here"),
+        (lambda: v.check_epsilon_dist([0.5, 0.4], 2), "add up to 1"),
+        (lambda: v.check_accuracy_vals([0, 1], 2), "accuracies are positive"),
         (lambda: v.check_stability_delta(0.1, 10), "privacy risk"),
     ]
     for call, message in cases:
@@ -96,7 +96,7 @@ def test_values_and_warnings():
         assert v.check_range([0, 1, 2]) == (0, 2)
     with pytest.warns(UserWarning, match="Setting range to NULL"):
         assert v.check_range([0, None], empty_okay=True) is None
-    with pytest.warns(UserWarning, match="higher global value"):
+    with pytest.warns(UserWarning, match="protects little"):
         assert v.check_epsilon(4) == 4
     with pytest.warns(UserWarning, match="Lower bound"):
         assert v.check_impute_range((0, 1.5), (1, 2), "numeric") == (1, 1.5)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilstat.functions.noise import Uniforms
+from veilstat.operators import mechanisms
 from veilstat.plans import budget, composition, glm, histograms, regression, specs, trees
 from veilstat.sources import metadata
 
@@ -65,7 +66,7 @@ def test_histogram_rules():
         histograms.check_bins([0, 1], (0, 1), "numeric")
     assert histograms.bins_of("logical", None, None, None, False, None, 5) == [0, 1, None]
     assert len(histograms.bins_of("numeric", (0, 16), None, None, False, 1000, 10_000)) == 11
-    with pytest.warns(UserWarning, match="removing bins"):
+    with pytest.warns(UserWarning, match="left out"):
         assert histograms.imputation_bins(["a", "z"], ["a", "b"], "character") == ["a"]
     assert histograms.normalize([-1, 5, 15], 10) == pytest.approx([0, 10 / 3, 20 / 3])
     assert sum(histograms.normalize([3, 4, 5.5], 20)) == pytest.approx(20)
@@ -95,7 +96,7 @@ def covariance(**more):
     return specs.CovarianceSpec("mechanismLaplace", "numeric", 10_000, ["a", "b", "c"], [(0, 1)] * 3, **more)
 
 
-@pytest.mark.filterwarnings("ignore:Epsilon value")
+@pytest.mark.filterwarnings("ignore:an epsilon of")
 def test_covariance_budgets():
     assert covariance(epsilon=[1.0] * 6).global_eps == 6
     assert covariance(global_eps=6).epsilon == [1] * 6
@@ -103,7 +104,7 @@ def test_covariance_budgets():
     assert len(covariance(accuracy=1).epsilon) == 6
     assert covariance(accuracy_vals=[1.0] * 6).epsilon == covariance(accuracy=1.0).epsilon
     for bad in ({"epsilon": 1.0}, {"epsilon": [1.0] * 3}):
-        with pytest.raises(ValueError, match="improper length"):
+        with pytest.raises(ValueError, match="epsilons are wanted"):
             covariance(**bad)
 
 
@@ -321,6 +322,18 @@ def test_exchange_entries(spark):
         metadata.release_entry("tree", tree, {"release": []})
 
 
+@pytest.mark.parametrize("mechanism", ["mechanismLaplace", "mechanismGaussian"])
+def test_any_statistic_is_bounded_imputed_and_released(spark, mechanism):
+    df = spark.createDataFrame([(0.0,), (9.0,), (None,), (2.0,)], "x double")
+    got = mechanisms.released(df, ["x"], "numeric", [(0, 3)], [F.sum("x"), F.max("x")], 1.0, 0.5, delta=1e-6, mechanism=mechanism, source=QUIET, uniform=F.lit(0.5))
+    assert got == [6.5, 3.0]
+    noisy = mechanisms.released(df, ["x"], "numeric", [(0, 3)], [F.sum("x")], 1.0, 0.5, delta=1e-6, mechanism=mechanism, source=Uniforms(fixed=[0.9]), uniform=F.lit(0.5))
+    scale = -math.log(0.2) * 2 if mechanism == "mechanismLaplace" else 1.2815515655446004 * math.sqrt(2 * math.log(1.25e6)) * 2
+    assert noisy == [pytest.approx(6.5 + scale)]
+    with pytest.raises(ValueError, match="no mechanism"):
+        mechanisms.released(df, ["x"], "numeric", [(0, 3)], [F.sum("x")], 1.0, 0.5, mechanism="mechanismStability")
+
+
 def test_many_releases_compose_without_overflow():
     for k, eps in ((800, 1.0), (5000, 0.01)):
         got = composition.optimal_homogeneous([(eps, 0.0)] * k, 1e-6)

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from numbers import Real
 from typing import Any
 
+from . import messages as say
 from .calibration import DEFAULT_DELTA
 
 VARIABLE_TYPES = ("numeric", "integer", "logical", "character", "factor", "double")
@@ -43,7 +44,7 @@ def _shown(x: Any) -> str:
 def check_empty(x: Any, empty_okay: bool = False) -> Any:
     values = as_list(x)
     if (not values or any(_missing(v) for v in values)) and not empty_okay:
-        raise ValueError("Input may not be NA or NULL.")
+        raise ValueError(say.EMPTY)
     return x
 
 
@@ -51,13 +52,13 @@ def check_numeric(x: Any, empty_okay: bool = False) -> Any:
     check_empty(x, empty_okay)
     for v in as_list(x):
         if not _missing(v) and not _numeric(v):
-            raise ValueError(f"Input value of  {_shown(v)} is not of type numeric.")
+            raise ValueError(f"{_shown(v)} is no number")
     return x
 
 
 def check_length(x: Any, n: int) -> Any:
     if len(as_list(x)) != n:
-        raise ValueError(f"Input was expected to be of length  {n}  but is instead of length  {len(as_list(x))}")
+        raise ValueError(say.LENGTH.format(n, len(as_list(x))))
     return x
 
 
@@ -66,11 +67,11 @@ def check_n(n: Any, expected_length: int = 1, empty_okay: bool = False) -> Any:
     if not values or any(_missing(v) for v in values):
         if empty_okay:
             return None
-        raise ValueError("Input n may not be NA or NULL.")
+        raise ValueError(say.N_EMPTY)
     check_length(values, expected_length)
     for v in values:
         if not _numeric(v) or v <= 0 or v != int(v):
-            raise ValueError("n must be a positive whole number.")
+            raise ValueError(say.N_WHOLE)
     return n
 
 
@@ -82,17 +83,17 @@ def check_range(rng: Any, var_type: str = "numeric", empty_okay: bool = False) -
     if not values:
         if empty_okay:
             return None
-        raise ValueError("Input range may not be empty.")
+        raise ValueError(say.RANGE_EMPTY)
     shown = f"c( {', '.join(map(_shown, values))} )"
     if any(_missing(v) for v in values):
         if empty_okay:
-            warnings.warn(f"Range argument provided {shown} has NA value. Setting range to NULL.", stacklevel=2)
+            warnings.warn(say.RANGE_DROPPED.format(shown), stacklevel=2)
             return None
-        raise ValueError("Input range may not contain NA values.")
+        raise ValueError(say.RANGE_MISSING)
     if len(values) < 2:
-        raise ValueError(f"Error in range argument provided, {shown} : requires upper and lower values as vector of length 2.")
+        raise ValueError(say.RANGE_SHORT.format(shown))
     if len(values) > 2:
-        warnings.warn(f"Range argument of {shown} has more than two values.  Will proceed using min and max values as range.", stacklevel=2)
+        warnings.warn(say.RANGE_LONG.format(shown), stacklevel=2)
     return (min(values), max(values))
 
 
@@ -101,7 +102,7 @@ def check_ranges(rngs: Any, var_types: str | Sequence[str], expected_length: int
     if rngs is None:
         rngs = [None] * expected_length
     if not is_vector(rngs) and not hasattr(rngs, "tolist"):
-        raise ValueError("Input rng is not of expected format.")
+        raise ValueError("ranges come as a list with one pair for each column")
     rngs = as_list(rngs)
     if expected_length == 1 and rngs and not is_vector(rngs[0]) and rngs[0] is not None:
         rngs = [rngs]
@@ -115,20 +116,20 @@ def check_impute_range(impute: Any, rng: Any, var_type: str) -> Any:
     if impute is None:
         return rng
     if var_type not in ("numeric", "integer", "double"):
-        warnings.warn("Imputation range entered for variable that is not of numeric or integer type. Setting imputation range to data range.", stacklevel=2)
+        warnings.warn(say.IMPUTE_TYPE, stacklevel=2)
         return rng
     if not all(_numeric(v) for v in as_list(impute)):
-        warnings.warn("Imputation range for a numeric variable must be numeric. Setting imputation range to data range.", stacklevel=2)
+        warnings.warn("bounds for imputed numbers are numbers; the data range is used instead", stacklevel=2)
         return rng
     values = as_list(impute)
     if len(values) != 2:
-        raise ValueError("Imputation range must have length 2.")
+        raise ValueError("a range for imputation has a lower and an upper bound")
     low, high = values
     if low < rng[0]:
-        warnings.warn("Lower bound of imputation range is outside of the data range. Setting lower bound of the imputation range to the lower bound of the data range.", stacklevel=2)
+        warnings.warn(say.IMPUTE_LOW, stacklevel=2)
         low = rng[0]
     if high > rng[1]:
-        warnings.warn("Upper bound of imputation range is outside of the data range. Setting upper bound of the imputation range to the upper bound of the data range.", stacklevel=2)
+        warnings.warn(say.IMPUTE_HIGH, stacklevel=2)
         high = rng[1]
     return (low, high)
 
@@ -137,14 +138,14 @@ def check_epsilon(epsilon: Any, expected_length: int = 1) -> Any:
     check_numeric(epsilon)
     values = as_list(epsilon)
     if expected_length == 1 and len(values) > 1:
-        raise ValueError(f"Privacy parameter epsilon must be a single value, but is currently a vector of length {len(values)}")
+        raise ValueError(f"one epsilon is wanted here, not {len(values)}")
     for e in values:
         if e <= 0:
-            raise ValueError("Privacy parameter epsilon must be a value greater than zero.")
+            raise ValueError(say.EPSILON_POSITIVE)
         if e >= 3:
-            warnings.warn(f"Epsilon value of  {_shown(e)} is in use. This is a higher global value than recommended for most cases.", stacklevel=2)
+            warnings.warn(f"an epsilon of {_shown(e)} protects little; most uses want less than 3", stacklevel=2)
     if len(values) != expected_length:
-        raise ValueError(f"Epsilon parameter has improper length. Actual length is  {len(values)}  while expected length is  {expected_length} .")
+        raise ValueError(f"{expected_length} epsilons are wanted, but there are {len(values)}")
     return epsilon
 
 
@@ -152,7 +153,7 @@ def check_accuracy(accuracy: Any, expected_length: int = 1) -> Any:
     check_numeric(accuracy)
     check_length(accuracy, expected_length)
     if any(a <= 0 for a in as_list(accuracy)):
-        raise ValueError("Accuracy must be greater than 0.")
+        raise ValueError("an accuracy is a positive number")
     return accuracy
 
 
@@ -160,13 +161,13 @@ def check_delta(mechanism: str, delta: float | None) -> float:
     if mechanism in DELTA_MECHANISMS:
         return DEFAULT_DELTA if delta is None else delta
     if delta:
-        warnings.warn("A delta parameter has been entered, but a mechanism that uses a delta value is not being used. Setting delta to 0.", stacklevel=2)
+        warnings.warn(say.DELTA_UNUSED, stacklevel=2)
     return 0.0
 
 
 def check_variable_type(var_type: str, allowed: Sequence[str]) -> str:
     if not isinstance(var_type, str) or var_type.lower() not in allowed:
-        raise ValueError(f"Variable type {var_type} should be one of {', '.join(allowed)}")
+        raise ValueError(say.VARIABLE_TYPE.format(var_type, ", ".join(allowed)))
     return var_type.lower()
 
 
@@ -174,26 +175,26 @@ def check_mechanism(mechanism: str, allowed: Sequence[str] = MECHANISMS) -> str:
     for name in allowed:
         if isinstance(mechanism, str) and mechanism.lower() == name.lower():
             return name
-    raise ValueError(f"Input mechanism {mechanism} should be one of {', '.join(allowed)}")
+    raise ValueError(f"no mechanism {mechanism!r} here; there are {', '.join(allowed)}")
 
 
 def check_epsilon_dist(shares: Sequence[float], expected_length: int) -> list[float]:
     if any(s <= 0 for s in shares) or abs(sum(shares) - 1) > 1e-9:
-        raise ValueError("All values in epsilonDist must be greater than 0 and be percentages that together sum to 1.")
+        raise ValueError("shares of epsilon are positive and add up to 1")
     if len(shares) != expected_length:
-        raise ValueError(f"Epsilon parameter has improper length. Actual length is  {len(shares)}  while expected length is  {expected_length} .")
+        raise ValueError(f"{expected_length} shares of epsilon are wanted, but there are {len(shares)}")
     return list(shares)
 
 
 def check_accuracy_vals(accuracy: Sequence[float], expected_length: int) -> list[float]:
     if len(accuracy) != expected_length:
-        raise ValueError(f"Accuracy parameter has improper length. Actual length is  {len(accuracy)}  while expected length is  {expected_length} .")
+        raise ValueError(f"{expected_length} accuracies are wanted, but there are {len(accuracy)}")
     if any(a <= 0 for a in accuracy):
-        raise ValueError("All values specified in parameter accuracyVals must be greater than 0.")
+        raise ValueError("accuracies are positive numbers")
     return list(accuracy)
 
 
 def check_stability_delta(delta: float, n: int) -> float:
     if delta >= 1 / n**2:
-        raise ValueError("A delta value on the order of 1/n^2 is a privacy risk, as it allows for additional data to leak beyond the privacy parameter epsilon. Choose a smaller value for delta to maintain your privacy guarantee.")
+        raise ValueError(say.DELTA_RISK)
     return delta

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calibration import gaussian_scale, stability_threshold
 from ..functions.noise import Uniforms, chi_squared_quantile, dp_noise, laplace_quantile
-from ..functions.validate import check_stability_delta
+from ..functions.validate import check_delta, check_mechanism, check_stability_delta
 from ..sources.shared import written
 from . import clean
 
@@ -54,6 +54,15 @@ def evaluate(df: DataFrame, fun: Sequence[Column] | Callable[[DataFrame], Sequen
     return [math.nan if v is None else float(v) for v in row]
 
 
+def released(df: DataFrame, columns: Sequence[str], var_type: str, rngs: Sequence, fun: Sequence[Column], sens: float, epsilon: float, delta: float | None = None, mechanism: str = "mechanismLaplace", impute_rngs: Sequence | None = None, source: Uniforms | None = None, uniform: Column | None = None) -> list[float]:
+    """A whole release of any aggregates of declared sensitivity: columns bounded and imputed, one aggregate, Laplace or normal noise."""
+    mechanism = check_mechanism(mechanism, ("mechanismLaplace", "mechanismGaussian"))
+    values = evaluate(prepared(df, columns, var_type, rngs, impute_rngs, uniform=uniform), fun)
+    if mechanism == "mechanismGaussian":
+        return gaussian(values, sens, epsilon, check_delta(mechanism, delta), source)
+    return laplace(values, sens, epsilon, source)
+
+
 def stability_histogram(counts: DataFrame, n: int, epsilon: float, delta: float, sens: float = 2.0, source: Uniforms | None = None) -> list[tuple[str, float]]:
     """(bin, noisy count) of the bins that occur and whose noisy count is over 1 + 2 ln(2/delta)/epsilon.
 

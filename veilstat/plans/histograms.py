@@ -6,16 +6,18 @@ import math
 import warnings
 from collections.abc import Sequence
 
+from ..functions import messages as say
 from ..functions.validate import is_vector
 
 
 def mechanism_of(var_type: str, rng: Sequence | None, bins: Sequence | None, n_bins: float | None, granularity: float | None) -> str:
     """Laplace where the bins are known beforehand, stability where they come from the data."""
+    check_histogram_type("numeric" if var_type == "double" else "character" if var_type == "factor" else var_type)
     if bins is not None or var_type == "logical":
         return "mechanismLaplace"
     if var_type in ("numeric", "integer", "double"):
         if n_bins is None and granularity is None:
-            raise ValueError("number of bins or granularity must be specified")
+            raise ValueError(say.BINS_UNKNOWN)
         return "mechanismStability" if rng is None else "mechanismLaplace"
     return "mechanismStability"
 
@@ -24,28 +26,28 @@ def check_bins(bins: Sequence | None, rng: Sequence | None, var_type: str) -> No
     if bins is None:
         return
     if var_type in ("character", "factor") and not all(b is None or isinstance(b, str) for b in bins):
-        raise ValueError("Bins must be of type `character` for a variable of type `character`")
+        raise ValueError(say.BINS_CHARACTER)
     if var_type in ("numeric", "integer", "double") and not all(isinstance(b, (int, float)) for b in bins):
-        raise ValueError("Bins must be numeric for a numeric variable")
+        raise ValueError(say.BINS_NUMERIC)
     if var_type == "logical" and not all(b in (0, 1, None) for b in bins):
-        raise ValueError("Histogram bins for a logical variable may only be 0, 1, or NA")
+        raise ValueError(say.BINS_LOGICAL)
     if rng is not None and var_type != "logical":
-        warnings.warn("You have entered both bins and a data range, when you do not need both. Default is to use the bins that have been entered. If you would like to use the range, please enter the range and the desired number of bins and omit the bins.", stacklevel=3)
+        warnings.warn(say.BINS_AND_RANGE, stacklevel=3)
 
 
 def check_n_bins(n_bins: float | None) -> int | None:
     if n_bins is None:
         return None
     if n_bins < 2:
-        raise ValueError("number of bins must be at least 2")
+        raise ValueError(say.BINS_FEW)
     if n_bins != int(n_bins):
-        warnings.warn("non-integer value for number of bins converted to next highest integer value", stacklevel=3)
+        warnings.warn(say.BINS_WHOLE, stacklevel=3)
     return math.ceil(n_bins)
 
 
 def check_histogram_type(var_type: str) -> None:
     if var_type not in ("numeric", "integer", "logical", "character"):
-        raise ValueError("Please enter a data type of 'numeric', 'integer', 'logical', or 'character'")
+        raise ValueError(f"no histogram of type {var_type!r}; there are numeric, integer, logical and character")
 
 
 def number_of_bins(n: int, n_bins: int | None, granularity: float | None) -> int:
@@ -84,12 +86,12 @@ def imputation_bins(impute_bins: Sequence | None, bins: Sequence | None, var_typ
     if impute_bins is None:
         return list(bins) if bins is not None else None
     if var_type not in ("logical", "factor", "character"):
-        warnings.warn("Imputation bins entered for variable that is not of logical or categorical type. Setting imputation bins to histogram bins", stacklevel=3)
+        warnings.warn("only categories are imputed from bins; the histogram's own are used", stacklevel=3)
         return list(bins) if bins is not None else None
     given = list(impute_bins) if is_vector(impute_bins) else [impute_bins]
     kept = [b for b in given if b in bins]
     for _ in range(len(given) - len(kept)):
-        warnings.warn("Imputation bin entered is not in list of histogram bins, removing bins from imputation bins.", stacklevel=3)
+        warnings.warn("a bin to impute from is none of the histogram's and is left out", stacklevel=3)
     return kept or list(bins)
 
 

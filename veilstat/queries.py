@@ -410,6 +410,37 @@ def regression_two_x(spark, sf):
     return _regression(spark, sf, "l_extendedprice ~ l_quantity + l_tax")
 
 
+@register("""
+    SELECT 'l_quantity' AS term, round(sqrt((syy - sxy * sxy / sxx) / 60000 / sxx), 8) AS std_error
+    FROM (SELECT var_samp(l_extendedprice) AS syy, var_samp(l_quantity) AS sxx, covar_samp(l_quantity, l_extendedprice) AS sxy FROM lineitem)
+""")
+def regression_error(spark, sf):
+    cols, rngs = ["l_extendedprice", "l_quantity"], [(0, 200000), (1, 50)]
+    spec = specs.CovarianceSpec("mechanismLaplace", "numeric", N, cols, rngs, epsilon=[1.0] * 3, formula="l_extendedprice ~ l_quantity")
+    (got,) = spec.release(lineitem(spark, sf), nz.Uniforms.silent(), nz.keyed_uniform(F.lit("x"), 1))["regression"]
+    return spark.createDataFrame([(x, round(e, 8)) for x, (_, e) in got.items()], "term string, std_error double")
+
+
+_HOLED_SUM = f"SELECT sum(coalesce({clamped('q', 5, 40)}, {U.format(key=LINE_SQL, seed=7)} * 35 + 5)) AS s FROM (SELECT *, {HOLED_SQL} AS q FROM lineitem)"
+
+
+def _evaluated(spark, sf, mechanism: str) -> DataFrame:
+    """A statistic of the caller's own, with missing values, through bounding, imputing, aggregating and noise."""
+    df = lineitem(spark, sf).select("l_orderkey", "l_linenumber", holed().alias("l_quantity"))
+    (value,) = mechanisms.released(df, ["l_quantity"], "numeric", [(5, 40)], [F.sum("l_quantity")], 35.0, 0.5, 1e-6, mechanism, source=nz.Uniforms(fixed=[0.2]), uniform=nz.keyed_uniform(line_key(), 7))
+    return spark.createDataFrame([(round(value, 4),)], "release double")
+
+
+@register(f"SELECT round(s + {qlap(0.2, '35 / 0.5')}, 4) AS release FROM ({_HOLED_SUM})")
+def laplace_evaluate(spark, sf):
+    return _evaluated(spark, sf, "mechanismLaplace")
+
+
+@register(f"SELECT round(s - 0.8416212335729143 * 35 * sqrt(2 * ln(1.25 / 1e-6)) / 0.5, 4) AS release FROM ({_HOLED_SUM})")
+def gaussian_evaluate(spark, sf):
+    return _evaluated(spark, sf, "mechanismGaussian")
+
+
 # Trees
 
 _TREE = """WITH leaf AS (SELECT p_size - 1 + 64 AS i FROM part), node AS (SELECT i >> k AS node, count(*) AS c FROM leaf, range(1, 7) t(k) GROUP BY 1),
@@ -587,10 +618,27 @@ def kov_hom(spark, sf):
     return spark.createDataFrame(rows, "k int, epsilon double, total double")
 
 
-@register()
+@register(f"""
+    WITH p AS (SELECT row_number() OVER () AS i, e, d FROM {_LEDGER}),
+    g AS (SELECT unnest([1e-7::DOUBLE, 1e-6, 1e-4]) AS delta),
+    b AS (SELECT 0.01 / (count(*) + sum(e) + 1) AS beta FROM p),
+    a AS (SELECT i, ceil(e * (1 / beta + 1)) AS a, ln(1 + beta) AS u FROM p, b),
+    subsets AS (SELECT m, sum(CASE WHEN (m >> (i - 1)::INTEGER) & 1 = 1 THEN a ELSE 0 END) AS size FROM a, range(0, 8) r(m) GROUP BY m),
+    facts AS (
+        SELECT delta, least(total, drift + sqrt(2 * sq * ln(exp(1) + sqrt(sq) / slack)), drift + sqrt(2 * sq * ln(1 / slack))) AS bound, slack
+        FROM (SELECT delta, sum(e) AS total, sum(e * e) AS sq, sum((exp(e) - 1) * e / (exp(e) + 1)) AS drift, 1 - (1 - delta) / exp(sum(ln(1 - d))) AS slack FROM p, g GROUP BY delta)
+    ),
+    guess AS (
+        SELECT f.delta, k, (SELECT max(u) FROM a) AS u FROM facts f, range(0, 5000) r(k) WHERE (
+            SELECT coalesce(sum(exp(-size * u) - exp((k - total) * u + size * u)), 0) <= (SELECT exp(sum(ln(1 + exp(-a * u)))) FROM a) * f.slack
+            FROM subsets, (SELECT sum(a) AS total, max(u) AS u FROM a) t WHERE size <= floor((total - k) / 2)
+        )
+    )
+    SELECT f.delta, round((SELECT least(min(k), ceil(f.bound / max(u))) * max(u) FROM guess WHERE guess.delta = f.delta), 8) AS approximate, round(f.bound, 8) AS bound FROM facts f
+""")
 def approx_comp(spark, sf):
     params = [(e, d) for _, e, d, _ in LEDGER_ROWS]
-    rows = [(g, composition.approximate(params, g), composition.upper_bound(params, g)) for g in (1e-7, 1e-6, 1e-4)]
+    rows = [(g, round(composition.approximate(params, g), 8), round(composition.upper_bound(params, g), 8)) for g in (1e-7, 1e-6, 1e-4)]
     return spark.createDataFrame(rows, "delta double, approximate double, bound double")
 
 
