@@ -40,21 +40,27 @@ def _tokens(text: Column) -> Column:
 
 
 def _slot(raw: Column, x: Column, i: Column) -> Column:
-    """1 number, 2 name, 3 unit, 0 none."""
-    first = F.substring(x, 1, 1)
-    unit = F.lower(x).isin(*UNITS) & (i > 0) & F.coalesce(F.substring(F.get(raw, i - 1), 1, 1).rlike(r"^\p{N}"), F.lit(False))
-    # Most words start with a to z, which needs no pattern.
-    return F.when(first.between("a", "z"), F.when(unit, 3).otherwise(0)).when(first != F.lower(first), 2).when(first.rlike(r"^\p{N}"), 1).when(unit, 3).otherwise(0)
+    """1 number, 2 name, 3 unit, 0 none.
+
+    Words are compared in byte order: those from "a" up to "{" begin with a to z, those from "0" up to ":" with a digit. Only what
+    begins otherwise needs a pattern.
+    """
+    first, before = F.substring(x, 1, 1), F.get(raw, i - 1)
+    other = lambda c: (c >= "\x80") & c.rlike(r"^\p{N}")
+    unit = (before >= "0") & ((before < ":") | other(before)) & F.lower(x).isin(*UNITS)
+    number = ((x >= "0") & (x < ":")) | other(x)
+    return F.when((x >= "a") & (x < "{"), F.when(unit, 3).otherwise(0)).when(first != F.lower(first), 2).when(number, 1).when(unit, 3).otherwise(0)
 
 
-def place(h: Column) -> Column:
-    """Where a hash points to in the table of marks."""
-    return F.shiftrightunsigned(h, 64 - PLACES.bit_length() + 1).cast("int")
+def place(h: Column) -> tuple[Column, Column]:
+    """The number and the bit in it that a hash points to in the table of marks."""
+    return F.shiftrightunsigned(h, 64 - (PLACES // 64).bit_length() + 1).cast("int"), h.bitwiseAND(63).cast("int")
 
 
 def marked(h: Column, marks: Column) -> Column:
-    """Whether the hash points to a mark; marks are bits, 64 in a number."""
-    return F.getbit(F.get(marks, F.shiftrightunsigned(h, 70 - PLACES.bit_length() + 1).cast("int")), place(h).bitwiseAND(63)) == 1
+    """Whether the hash points to a bit that is set."""
+    word, bit = place(h)
+    return F.getbit(F.get(marks, word), bit) == 1
 
 
 def runs(x: Column, n: int, kind: int) -> Column:
@@ -108,9 +114,12 @@ def windows(rows: DataFrame, key: list[str], sizes: list[int], typed_sizes: list
 
         def of(hs: Column) -> Column:
             places = F.when(F.size(hs) > 0, F.sequence(F.lit(1), F.size(hs))).otherwise(F.array().cast("array<int>"))
-            if not item:
-                places = F.filter(places, lambda i: marked(F.get(hs, i - 1), q["bits"]))
-            return F.transform(places, lambda i: window(i, F.get(hs, i - 1)))
+            pair = lambda i, h: F.struct(i.alias("i"), h.alias("h"))
+            if item:
+                found = F.zip_with(places, hs, pair)
+            else:
+                found = F.filter(F.zip_with(places, hs, lambda i, h: F.when(marked(h, q["bits"]), pair(i, h))), lambda w: w.isNotNull())
+            return F.transform(found, lambda w: window(w["i"], w["h"]))
 
         return let(hashes, of)
 
@@ -195,7 +204,8 @@ class Decontaminator:
     def _leaks(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         """Alignments that are leaks: doc_id, twin, item_id, the windows met (met, same) and of how many."""
         index, sizes, typed_sizes = self.index(benchmark)
-        found = index.select(place(F.col("h")).alias("p")).distinct().groupBy(F.shiftright("p", 6).alias("word")).agg(F.collect_list(F.col("p").bitwiseAND(63)).alias("bits")).collect()
+        word, bit = place(F.col("h"))
+        found = index.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.collect_set("bit").alias("bits")).collect()
         marks = [0] * (PLACES // 64)
         for r in found:
             value = sum(1 << b for b in r.bits)
