@@ -29,7 +29,7 @@ from .components import components
 from .store import Scratch, dealt
 from .text import U, mix
 
-WIDTH, FILL, PIECE, SLACK = 8, 500, 1024, 1e-9
+WIDTH, FILL, PIECE, SLACK = 16, 500, 1024, 1e-9
 _KEY = ["label", "block", "cell"]
 
 
