@@ -74,7 +74,7 @@ class Model:
     base: float = 0.5
 
     def features(self, texts: pa.Array):
-        for row, stop, data, at in slices(texts, 1_000_000):
+        for row, stop, data, at in slices(texts, 300_000):
             word, shape, first = tokens(data, at)
             yield row, stop, np.hstack([pooled(self.words, word, first), pooled(self.shapes, shape, first)])
 
