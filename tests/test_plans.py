@@ -334,6 +334,11 @@ def test_any_statistic_is_bounded_imputed_and_released(spark, mechanism):
         mechanisms.released(df, ["x"], "numeric", [(0, 3)], [F.sum("x")], 1.0, 0.5, mechanism="mechanismStability")
 
 
+def test_huge_trees_are_refused():
+    with pytest.raises(ValueError, match="larger steps"):
+        specs.TreeSpec("x", 10, (0, 1e9), 1, epsilon=1.0)
+
+
 def test_many_releases_compose_without_overflow():
     for k, eps in ((800, 1.0), (5000, 0.01)):
         got = composition.optimal_homogeneous([(eps, 0.0)] * k, 1e-6)

@@ -306,7 +306,10 @@ class CovarianceSpec(_Spec):
 
 @dataclass
 class TreeSpec(_Spec):
-    """Counts of a dyadic tree over a range in steps of ``gran``; from them distribution, mean and quantiles."""
+    """Counts of a dyadic tree over a range in steps of ``gran``; from them distribution, mean and quantiles.
+
+    Every node is a released number that the sweeps need on the driver, so a tree of over 2^22 nodes is refused: take larger steps.
+    """
 
     variable: str
     n: int
@@ -325,6 +328,8 @@ class TreeSpec(_Spec):
         self.var_type = v.check_variable_type(self.var_type, ("numeric", "integer", "logical"))
         v.check_n(self.n)
         self.rng = v.check_range(self.rng, self.var_type)
+        if aggregate.tree_depth(*self.rng, self.gran) > 22:
+            raise ValueError("a tree of over 2^22 nodes; take larger steps")
         self.sens = cal.tree_sensitivity(*self.rng, self.gran)
         self.impute_rng = v.check_impute_range(self.impute_rng, self.rng, self.var_type)
         self._exchange(lambda e: cal.tree_accuracy(e, *self.rng, self.gran, self.alpha), lambda a: cal.tree_epsilon(a, *self.rng, self.gran, self.alpha))
