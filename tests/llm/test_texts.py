@@ -98,6 +98,25 @@ def test_jaccard_join(spark, rounds):
     assert JaccardJoin(spark).run(table(spark, [])).count() == 0
 
 
+def test_sets_go_on_in_bounded_batches(monkeypatch):
+    from veilstat.llm import jaccard
+
+    texts = [t for _, t in corpus()]
+    keys = [jaccard.digest(s) if len(s) else None for s in jaccard.shingle_sets(pa.array(texts), 5)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(keys, pa.binary())], ["doc_id", "text", "set_key"])
+
+    def all_rows(make):
+        out = list(make(iter([batch, batch.slice(0, 0)])))
+        return len(out), pa.Table.from_batches(out).to_pylist()
+
+    for make in (jaccard._low(5, 0.3), jaccard._full(5)):
+        few, want = all_rows(make)
+        monkeypatch.setattr(jaccard, "HELD", 100)
+        many, got = all_rows(make)
+        monkeypatch.undo()
+        assert got == want and many > few + 50
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(1000, 1000), (2000, 1999)], "a long, b long")

@@ -44,6 +44,8 @@ from .text import U, mix, slices, words
 SAMPLE = 0.3
 BLOCK = 64
 PIVOTS = 8
+#: Shingles that a task holds before it hands them on.
+HELD = 1 << 19
 _JOIN = 0xA24BAED4963EE407
 
 
@@ -93,16 +95,22 @@ def _low(k: int, share: float):
     """Class and hash of the shingles whose hash is in the lowest ``share`` of all values."""
     top = U(int(share * 2.0**64))
 
+    def made(keys: list[int], low: list[np.ndarray]) -> pa.RecordBatch:
+        key = np.repeat(np.array(keys, np.int64), np.array([len(x) for x in low], np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([*low, np.zeros(0, U)]).view(np.int64))], ["key", "h"])
+
     def run(batches):
         for batch in batches:
-            keys, low = [], []
+            keys, low, held = [], [], 0
             for s in shingle_sets(batch.column("text"), k):
                 if len(s):
-                    low.append(s[: np.searchsorted(s, top)])
+                    low.append(s[: np.searchsorted(s, top)].copy())
                     keys.append(int.from_bytes(digest(s)[:8], "big", signed=True))
-            if keys:
-                key = np.repeat(np.array(keys, np.int64), [len(x) for x in low])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate(low).view(np.int64))], ["key", "h"])
+                    held += len(low[-1])
+                    if held > HELD:
+                        yield made(keys, low)
+                        keys, low, held = [], [], 0
+            yield made(keys, low)
 
     return run
 
@@ -110,10 +118,21 @@ def _low(k: int, share: float):
 def _full(k: int):
     def run(batches):
         for batch in batches:
-            want = batch.column("set_key").to_pylist()
-            keep = [(i, s) for i, s in enumerate(shingle_sets(batch.column("text"), k)) if len(s) and digest(s) == want[i]]
-            rows = pa.array([i for i, _ in keep], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), pa.array([len(s) for _, s in keep], pa.int64()), _lists([s for _, s in keep])], ["id", "n", "shingles"])
+            want, ids = batch.column("set_key").to_pylist(), batch.column("doc_id")
+            rows, sets, held = [], [], 0
+
+            def made():
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["id", "n", "shingles"])
+
+            for i, s in enumerate(shingle_sets(batch.column("text"), k)):
+                if len(s) and digest(s) == want[i]:
+                    rows.append(i)
+                    sets.append(s)
+                    held += len(s)
+                    if held > HELD:
+                        yield made()
+                        rows, sets, held = [], [], 0
+            yield made()
 
     return run
 
