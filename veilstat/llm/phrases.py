@@ -6,7 +6,7 @@
 2. Automata. The words of a confirmed seed are cut from the document it belongs to. These phrases are dealt into shards of about ``PHRASES``
    by the document they come from; each shard is compiled into an Aho-Corasick automaton. A document goes to the shards of which
    it has a seed (none others can have a phrase of it) and is streamed whole through their automata, which locate every occurrence. The
-   documents of a shard are dealt into parts of about ``PART``, each with the shard's automaton.
+   documents of a shard are dealt into parts of about ``PART`` words, each with the shard's automaton.
 3. Windows whose seed was located are hashed whole and counted over all documents: the smallest doc_id of a window owns it.
 4. Every window that a smaller doc_id owns covers its words, and covered words go.
 
@@ -39,7 +39,7 @@ from .tokenize import plain
 
 SEED = 12
 PHRASES = 5_000
-PART = 4_096
+PART = 2_000_000
 _TOP = U(2**64 - 1)
 _GAP = re.compile(rb"[\x20\x09-\x0d]+")
 
@@ -70,7 +70,7 @@ def plain_words(text: bytes) -> bytes:
 
 
 def _emit(window: int):
-    """doc_id, the first half of the digest of the words, and the seeds of every text that has a window."""
+    """doc_id, the first half of the digest of the words, their number, and the seeds of every text that has a window."""
 
     def run(batches):
         for batch in batches:
@@ -78,15 +78,15 @@ def _emit(window: int):
             for row, stop, data, at in slices(batch.column("text")):
                 w, raw = words(data, at), data.tobytes()
                 _, low, whole = seeds(w, window)
-                first, kept, own, sha = np.minimum(w.first, len(low)), [], [], []
-                for d in np.flatnonzero(np.diff(w.first) >= window).tolist():
+                first, kept, own, sha, size = np.minimum(w.first, len(low)), [], [], [], np.diff(w.first)
+                for d in np.flatnonzero(size >= window).tolist():
                     a, b = first[d], first[d + 1]
                     kept.append(row + d)
                     own.append(np.unique(low[a:b][whole[a:b]]).view(np.int64))
                     sha.append(int.from_bytes(hashlib.sha256(plain_words(raw[at[d] : at[d + 1]])).digest()[:8], "big", signed=True))
                 if kept:
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]), pa.int32()), pa.array(np.concatenate(own)))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(kept)), pa.array(sha, pa.int64()), lists], ["doc_id", "text_key", "seeds"])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(kept)), pa.array(sha, pa.int64()), pa.array(size[np.array(kept) - row], pa.int32()), lists], ["doc_id", "text_key", "n", "seeds"])
 
     return run
 
@@ -214,14 +214,14 @@ class RepeatedPhrases:
     def bodies(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Every row with its words' number and digest, and its words if windows of it may recur; and the parts of each shard."""
         tmp = self.tmp
-        made = tmp.save("seeds", docs.where("doc_id is not null").mapInArrow(_emit(self.window), "doc_id long, text_key long, seeds array<long>"))
-        rows = made.select("doc_id", "text_key", F.explode("seeds").alias("h"))
+        made = tmp.save("seeds", docs.where("doc_id is not null").mapInArrow(_emit(self.window), "doc_id long, text_key long, n int, seeds array<long>"))
+        rows = made.select("doc_id", "text_key", "n", F.explode("seeds").alias("h"))
         often = rows.groupBy("h").agg(F.min("doc_id").alias("a"), F.min("text_key").alias("one"), F.max("text_key").alias("two")).where("one < two").select("h", "a")
         often = tmp.save("often", often, large=True)
         shard = F.pmod(F.xxhash64("a"), F.lit(max(1, ceil(often.count() / PHRASES)))).cast("int")
-        met = rows.drop("text_key").join(often.hint("merge"), "h").groupBy("doc_id", shard.alias("shard")).agg(F.collect_set(F.when(F.col("doc_id") == F.col("a"), F.col("h"))).alias("own"))
+        met = rows.drop("text_key").join(often.hint("merge"), "h").groupBy("doc_id", shard.alias("shard")).agg(F.max("n").cast("long").alias("n"), F.collect_set(F.when(F.col("doc_id") == F.col("a"), F.col("h"))).alias("own"))
         met = tmp.save("met", met, large=True)
-        parts = tmp.save("parts", met.groupBy("shard").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
+        parts = tmp.save("parts", met.groupBy("shard").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts")))
         hits = met.join(parts, "shard").groupBy("doc_id").agg(
             F.collect_list(F.struct("shard", "parts")).alias("shards"), F.flatten(F.collect_list("own")).alias("own"), F.max(F.when(F.size("own") > 0, F.col("shard"))).alias("home")
         )
