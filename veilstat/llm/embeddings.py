@@ -161,7 +161,7 @@ def pieces(rows: DataFrame, size: int) -> DataFrame:
     """Pairs of pieces: each home vector (side 0) beside every piece of its cell's vectors, and each vector (side 1) beside every home piece."""
     many = rows.groupBy(*_KEY).agg(F.count_if("home").alias("h"), F.count("*").alias("m")).where("h > 0 and m > 1")
     many = many.select(*_KEY, F.ceil(F.col("h") / size).cast("int").alias("homes"), F.ceil(F.col("m") / size).cast("int").alias("alls"))
-    got = rows.join(many, _KEY)
+    got = dealt(rows, many, _KEY, "id")
 
     def piece(n: str) -> Column:
         return F.pmod(F.xxhash64("id", F.lit(3)), F.col(n)).cast("int")

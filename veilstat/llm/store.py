@@ -53,13 +53,14 @@ def salt(by: str) -> Column:
     return F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int").alias("salt")
 
 
-def dealt(rows: DataFrame, facts: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+def dealt(rows: DataFrame, facts: DataFrame, key: str | list[str], by: str, how: str = "inner") -> DataFrame:
     """Rows beside the facts of their key: a key's rows are dealt by ``by`` into ``SALTS`` parts, its facts given to each.
 
     Facts of many keys are never broadcast; so a key of a third of all rows, or of none (null), is not one task's at any size.
     """
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    return rows.select("*", salt(by)).join(facts.select("*", salts).hint("merge"), [key, "salt"], how).drop("salt")
+    on = [*([key] if isinstance(key, str) else key), "salt"]
+    return rows.select("*", salt(by)).join(facts.select("*", salts).hint("merge"), on, how).drop("salt")
 
 
 def free_name(df: DataFrame, name: str) -> str:
