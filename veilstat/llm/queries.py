@@ -11,7 +11,7 @@ from .embeddings import EmbeddingJoin
 from .jaccard import JaccardJoin
 from .phrases import RepeatedPhrases
 from .secrets import report
-from .sql import JACCARD, PHRASES, SECRETS
+from .sql import JACCARD, LEAKS, PHRASES, SECRETS
 from .sstable import TokenShards
 from .tokenize import round_trip
 
@@ -76,6 +76,7 @@ SQL = {
     "op1_ngram_jaccard_join": JACCARD,
     "op5_secret_scan": SECRETS,
     "op6_substring_dedup": PHRASES,
+    "op7_benchmark_decontamination": LEAKS,
     # The escape adds one backslash to each control string; merged turns have a mark between them.
     "op2_chat_formatting": r"""
         WITH turns AS (
