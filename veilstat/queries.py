@@ -642,24 +642,28 @@ def approx_comp(spark, sf):
     return spark.createDataFrame(rows, "delta double, approximate double, bound double")
 
 
-@register()
+_NEW = {"all_unset": (1 / 3, 1 / 3, 1 / 3), "one_unset": (1 / 3, 1 / 3, 1 / 3), "held": (0.1, 0.45, 0.45)}
+
+
+@register("SELECT * FROM (VALUES " + ", ".join(f"('{name}', {i}, {round(e, 8)}::DOUBLE, 1e-9::DOUBLE)" for name, own in _NEW.items() for i, e in enumerate(own)) + ") t(name, stat, epsilon, delta)")
 def update_parameters(spark, sf):
+    """In SQL the values that enumerating all subsets of releases gives."""
     cases = {"all_unset": ([(None, 1e-9)] * 3, []), "one_unset": ([(0.2, 1e-9), (0.2, 1e-9), (None, 1e-9)], []), "held": ([(0.1, 1e-9), (0.3, 1e-9), (0.3, 1e-9)], [0])}
-    rows = [(name, i, e, d) for name, (params, hold) in cases.items() for i, (e, d) in enumerate(budget.update_parameters(params, hold, 1.0, 1e-6))]
+    rows = [(name, i, round(e, 8), d) for name, (params, hold) in cases.items() for i, (e, d) in enumerate(budget.update_parameters(params, hold, 1.0, 1e-6))]
     return spark.createDataFrame(rows, "name string, stat int, epsilon double, delta double")
 
 
 # Models and documents
 
 
-def _glm(spark, sf, objective: str, formula: str, rng, **more) -> DataFrame:
+def _glm(spark, sf, objective: str, formula: str, rng, digits: int = 6) -> DataFrame:
     df = lineitem(spark, sf).select("l_orderkey", "l_quantity", "l_discount", (F.col("l_quantity") > 25).cast("double").alias("large"))
-    spec = glm.GlmSpec(formula, objective, N, rng, epsilon=1.0, **more)
+    spec = glm.GlmSpec(formula, objective, N, rng, epsilon=1.0)
     got = spec.release(df, nz.Uniforms.silent(), nz.keyed_uniform(F.lit("x"), 1))
-    return spark.createDataFrame([(k, round(float(x), 6)) for k, x in got["coefficients"].items()], "term string, estimate double")
+    return spark.createDataFrame([(k, round(float(x), digits)) for k, x in got["coefficients"].items()], "term string, estimate double")
 
 
-def _newton_sql(y: str, first: str, second: str, ridge: float) -> str:
+def _newton_sql(y: str, first: str, second: str, ridge: float, more: str = "", digits: int = 6) -> str:
     """Newton's method over the few distinct pairs of y and x, x over its largest value; ``z`` is the linear predictor."""
     return f"""
         WITH RECURSIVE m AS (SELECT max(abs(l_discount)) AS m FROM lineitem),
@@ -671,10 +675,10 @@ def _newton_sql(y: str, first: str, second: str, ridge: float) -> str:
             FROM it, LATERAL (
                 SELECT sum(w * {first}) - {ridge} * it.a AS f0, sum(w * x * {first}) - {ridge} * it.b AS f1,
                        sum(w * {second}) + {ridge} AS h00, sum(w * x * {second}) AS h01, sum(w * x * x * {second}) + {ridge} AS h11
-                FROM (SELECT *, it.a + it.b * x AS z FROM d)
+                FROM (SELECT *{more} FROM (SELECT *, it.a + it.b * x AS z FROM d))
             ) s WHERE it.k < 40
         )
-        SELECT unnest(['intercept', 'l_discount']) AS term, unnest([round(a, 6), round(b / (SELECT m FROM m), 6)]) AS estimate FROM it WHERE k = 40
+        SELECT unnest(['intercept', 'l_discount']) AS term, unnest([round(a, {digits}), round(b / (SELECT m FROM m), {digits})]) AS estimate FROM it WHERE k = 40
     """
 
 
@@ -688,9 +692,17 @@ def glm_logit(spark, sf):
     return _glm(spark, sf, "logit", "large ~ l_discount", [(0, 1), (0, 0.1)])
 
 
-@register()
+#: The normal density and, by its series, the normal distribution function.
+_NORMAL = (
+    ", exp(-z * z / 2) / sqrt(2 * pi()) AS f, 0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * "
+    "list_sum(list_transform(range(0, 80), lambda j: exp((2 * j + 1) * ln(greatest(abs(z), 1e-300)) - lgamma(2 * j + 2) + j * ln(2) + lgamma(j + 1)))) AS c"
+)
+
+
+@register(_newton_sql("(l_quantity > 25)::DOUBLE", "(y * f / c - (1 - y) * f / (1 - c))", "(y * f / c * (f / c + z) + (1 - y) * f / (1 - c) * (f / (1 - c) - z))", 0.0, _NORMAL, 4))
 def glm_probit(spark, sf):
-    return _glm(spark, sf, "probit", "large ~ l_discount", [(0, 1), (0, 0.1)])
+    """To four digits, as the distribution function is exact to seven."""
+    return _glm(spark, sf, "probit", "large ~ l_discount", [(0, 1), (0, 0.1)], 4)
 
 
 @register(_newton_sql("l_quantity", "(y - exp(z))", "exp(z)", 0.0))
