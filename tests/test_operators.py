@@ -119,10 +119,10 @@ def test_bootstrap_draws_from_all_rows(spark):
 
 def test_quantiles_by_brackets(spark):
     rng = np.random.default_rng(4)
-    for values in (rng.normal(size=3001), np.round(rng.random(2000) * 5), np.ones(500)):
+    for values in (rng.normal(size=3001), np.round(rng.random(2000) * 5), np.ones(500), np.repeat([1.0, 2.0], [400, 600])):
         df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "x double")
         shares = [0.0, 0.025, 0.5, 0.975, 1.0]
-        ranks = [0, 7, len(values) // 2, len(values) - 1]
+        ranks = [0, 7, 399, 400, len(values) // 2, len(values) - 1]
         assert clean.quantiles(df, "x", shares) == pytest.approx(np.quantile(values, shares).tolist())
         assert clean.order_statistics(df, "x", ranks, few=40) == pytest.approx(np.sort(values)[ranks].tolist())
     assert all(math.isnan(v) for v in clean.quantiles(df.where("false"), "x", [0.5]))

@@ -88,26 +88,32 @@ def make_dummies(df: DataFrame, columns: Sequence[str], levels: dict[str, Sequen
 def order_statistics(df: DataFrame, name: str, ranks: Sequence[int], few: int = 1_000_000) -> list[float]:
     """The values at these places (from 0) of the sorted values that are not missing.
 
-    Each is searched by brackets from an approximate quantile, counted exactly in one pass each, until a bracket holds at most ``few`` rows
-    or one value; so no task sorts or counts more than that, however many rows there are.
+    Each is searched by brackets from approximate quantiles, counted exactly in one pass each. Where a bracket's ends are not the value, what
+    lies strictly between them is searched on, so every pass leaves less, until a bracket holds at most ``few`` rows; no task sorts more than
+    that, however many rows there are.
     """
     x = df.select(null_of_nan(df, name).cast("double").alias("x")).where("x is not null")
-    out = []
+    n, out, v = x.count(), [], F.col("x")
     for rank in ranks:
-        low, high, below, inside, width = -math.inf, math.inf, 0, x.count(), 1e-3
-        while inside > few and low < high:
-            here = x.where(F.col("x").between(low, high))
+        low, high, below, inside, width, value = -math.inf, math.inf, 0, n, 1e-3, None
+        while inside > few and value is None:
+            here = x.where(v.between(low, high))
             at = (rank - below) / (inside - 1)
             a, b = here.agg(F.percentile_approx("x", [max(0.0, at - width), min(1.0, at + width)], 10_000)).first()[0]
-            under, upto = here.agg(F.count_if(F.col("x") < a), F.count_if(F.col("x") <= b)).first()
+            under, on_a, upto, on_b, low_, high_ = here.agg(
+                F.count_if(v < a), F.count_if(v == a), F.count_if(v <= b), F.count_if(v == b), F.min(F.when(v > a, v)), F.max(F.when(v < b, v))
+            ).first()
             if not below + under <= rank < below + upto:
                 width *= 2
-                continue
-            low, high, below, inside = a, b, below + under, upto - under
-        if low == high:
-            out.append(low)
-        else:
-            out.append(x.where(F.col("x").between(low, high)).agg(F.array_sort(F.collect_list("x"))[rank - below]).first()[0])
+            elif rank < below + under + on_a:
+                value = a
+            elif rank >= below + upto - on_b:
+                value = b
+            else:
+                low, high, below, inside = low_, high_, below + under + on_a, upto - on_b - under - on_a
+        if value is None:
+            value = x.where(v.between(low, high)).agg(F.array_sort(F.collect_list("x"))[rank - below]).first()[0]
+        out.append(value)
     return out
 
 

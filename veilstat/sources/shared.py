@@ -5,6 +5,8 @@ A frame with random values must not be computed twice: a lost executor would bri
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 @cache
 def _own(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"{application}-")
+    root = tempfile.mkdtemp(prefix=f"{application}-")
+    atexit.register(shutil.rmtree, root, True)
+    return root
 
 
 def folder(spark: SparkSession) -> str:
