@@ -24,6 +24,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a > b")
 
 
+def _settled(state: DataFrame) -> bool:
+    """Whether every link is from a node that has no other to one that has links to larger nodes only."""
+    ends = state.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(state.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def stars(edges: DataFrame, scratch: Scratch, label: str = "cc", most: int = 60) -> DataFrame:
     """(a, b) links in, (a, b) out: each id but the smallest of its component beside the smallest.
 
@@ -31,15 +37,12 @@ def stars(edges: DataFrame, scratch: Scratch, label: str = "cc", most: int = 60)
     are kept at a time. Rounds grow as the logarithm of the longest path; stars and a few new links take few.
     """
     flat = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    state, seen, kept = scratch.save(f"{label}0", flat), None, f"{label}0"
-    for k in range(1, most + 1):
-        state = scratch.save(f"{label}{k}", _star(_star(state, True), False).distinct())
-        scratch.drop(kept)
-        kept = f"{label}{k}"
-        mark = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if not mark[0] or mark == seen:
+    state = scratch.save(f"{label}0", flat.distinct())
+    for k in range(most):
+        if _settled(state):
             return state
-        seen = mark
+        state = scratch.save(f"{label}{k + 1}", _star(_star(state, True), False).distinct())
+        scratch.drop(f"{label}{k}")
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
