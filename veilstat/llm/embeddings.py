@@ -30,6 +30,8 @@ from .store import Scratch, dealt
 from .text import U, mix
 
 WIDTH, FILL, PIECE, SLACK = 16, 500, 1024, 1e-9
+#: What a squared distance between parts of unit vectors may change when they are kept in single precision, and more.
+ROUGH = 1e-6
 _KEY = ["label", "block", "cell"]
 
 
@@ -73,9 +75,9 @@ def _cells(limit: float, grid: int):
                 x = turned(vec.take(own).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
                 for k, (cut, budget) in enumerate(blocks(dim, limit)):
                     part = np.ascontiguousarray(x[:, cut])
-                    at = part[:, :grid] / (2 * (budget + 3 * SLACK) ** 0.5)
+                    at = part[:, :grid] / (2 * (budget + 2 * ROUGH) ** 0.5)
                     low, home = np.floor(at - 0.5).astype(np.int64), np.floor(at).astype(np.int64)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, part.shape[1]), pa.int32()), pa.array(part.ravel()))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, part.shape[1]), pa.int32()), pa.array(part.ravel().astype(np.float32)))
                     for corner in range(1 << at.shape[1]):
                         here = low + [corner >> j & 1 for j in range(at.shape[1])]
                         cell = np.full(len(x), dim, U)
@@ -95,11 +97,11 @@ def _active(limit: float):
         own, rest = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         some = np.zeros(len(ids), bool)
         if len(own) and len(rest):
-            x, k = matrix(table.column("part")), table.column("block")[0].as_py()
+            x, k = matrix(table.column("part")).astype(np.float64), table.column("block")[0].as_py()
             budget = blocks(int(dims[0]), limit)[k][1]
             for row in range(0, len(own), 256):
                 part = own[row : row + 256]
-                near = (squares(x[part], x[rest]) <= budget + 2 * SLACK) & (ids[part][:, None] != ids[rest])
+                near = (squares(x[part], x[rest]) <= budget + ROUGH) & (ids[part][:, None] != ids[rest])
                 some[part] |= near.any(axis=1)
                 some[rest] |= near.any(axis=0)
         return table.filter(pa.array(some)).select([*_KEY, "id", "home"])
@@ -205,7 +207,7 @@ class EmbeddingJoin:
         limit = 2 - 2 * self.least + SLACK
         most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
         grid = min(WIDTH, max(1, ceil(log(max(most / FILL, 1), 4))))
-        cells = classes.select("id", "label", "vec").mapInArrow(_cells(limit, grid), "id long, label string, block int, cell long, home boolean, dim int, part array<double>")
+        cells = classes.select("id", "label", "vec").mapInArrow(_cells(limit, grid), "id long, label string, block int, cell long, home boolean, dim int, part array<float>")
         cells = self.tmp.save("cells", cells)
         near = pieces(cells, PIECE).groupBy(*_KEY, "i", "j").applyInArrow(_active(limit), "label string, block int, cell long, id long, home boolean")
         near = self.tmp.save("near", near.distinct(), large=True)
