@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -19,7 +20,7 @@ from veilstat.llm.phrases import RepeatedPhrases, sliding_min
 from veilstat.llm.queries import vocabulary
 from veilstat.llm.secrets import SecretScan, redact, report
 from veilstat.llm.sstable import Reader, TokenShards, open_folder
-from veilstat.llm.store import Scratch
+from veilstat.llm.store import CLEANUP, Scratch
 from veilstat.llm.text import words
 from veilstat.llm.tokenize import decode, encode, round_trip
 
@@ -117,6 +118,30 @@ def test_sets_go_on_in_bounded_batches(monkeypatch):
         assert got == want and many > few + 50
 
 
+def test_saved_tables_leave_no_shuffle_files(spark, tmp_path):
+    """They go with the write, without waiting for a collection of the driver's garbage or asking for one."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+
+    def files():
+        got, it = set(), disk.getAllFiles().iterator()
+        while it.hasNext():
+            name = it.next().getName()
+            got |= {name} if name.startswith("shuffle_") else set()
+        return got
+
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    gc_before, before, setting = full(), files(), spark.conf.get(CLEANUP, None)
+    made = spark.range(0, 20_000, 1, 4).groupBy((F.col("id") % 100).alias("k")).agg(F.count("*").alias("n"))
+    saved = Scratch(spark, "t").save("t", made)
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and full() == gc_before and spark.conf.get(CLEANUP, None) == setting
+    assert saved.agg(F.sum("n")).first()[0] == 20_000
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(1000, 1000), (2000, 1999)], "a long, b long")
@@ -315,6 +340,21 @@ def test_quality_classifier(spark):
     assert quality.op(spark, table(spark, []), labels).count() == 0
 
 
+def test_training_reads_documents_once_for_both_passes(spark):
+    """The sample is chosen by one read of the keys and one of the texts; the driver plans and broadcasts it once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(k, " ".join(prose(k, 60))) for k in range(300)]
+    docs = table(spark, rows).select("doc_id", "text").mapInArrow(counted, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, quality int")
+    assert quality.train(spark, docs, labels).net is not None and seen.value <= 2 * len(rows)
+
+
 def test_language_id(spark):
     kinds = {"aa": "lum tam bor ", "bb": "chi ske vyr ", "cc": "ñon ería ción "}
     rows = [(k, kinds[lang] * (2 + k % 7), lang) for k in range(240) for lang in [("aa", "bb", "cc")[k % 3]]]

@@ -210,12 +210,12 @@ class EmbeddingJoin:
         cells = classes.select("id", "label", "vec").mapInArrow(_cells(limit, grid), "id long, label string, block int, cell long, home boolean, dim int, part array<float>")
         cells = self.tmp.save("cells", cells)
         near = pieces(cells, PIECE).groupBy(*_KEY, "i", "j").applyInArrow(_active(limit), "label string, block int, cell long, id long, home boolean")
-        near = self.tmp.save("near", near.distinct(), large=True)
+        near = self.tmp.save("near", near.distinct())
         self.tmp.drop("cells")
         rows = pieces(near, 4 * PIECE).join(classes.select("id", "n", "vec").hint("merge"), "id")
         found = rows.groupBy(*_KEY, "i", "j").applyInArrow(_links(limit, self.least), "a long, b long, n long")
         found = found.groupBy("a", "b").agg(F.sum("n").alias("n"))
-        found = self.tmp.save("links", found, large=True)
+        found = self.tmp.save("links", found)
         self.tmp.drop("near")
         return found
 

@@ -194,7 +194,7 @@ class JaccardJoin:
         """Voronoi regions with their boundaries, the regions that would not get smaller, and the components with the links found."""
         name = F.xxhash64("id", F.lit(k))
         pivots = regions.where("core").groupBy("region", F.pmod(name, F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct(name, "id"))["id"].alias("pivot")).select("region", "pivot")
-        at = self.tmp.save(f"at{k}", self._distances(dealt(regions, pivots, "region", "id"), sets), large=True)
+        at = self.tmp.save(f"at{k}", self._distances(dealt(regions, pivots, "region", "id"), sets))
         state = self._joined(state, self._linked(at), f"pivots{k}")
         far = at.withColumn("far", 1 - F.col("both") / F.col("either"))
         near = far.groupBy("region", "id").agg(F.min(F.struct("far", "pivot")).alias("near"))
@@ -219,9 +219,9 @@ class JaccardJoin:
         low = docs.where("doc_id is not null").mapInArrow(_low(self.k, SAMPLE), "key long, h long")
         own = low.groupBy("h").agg(F.min("key").alias("key"), F.max("key").alias("last")).where("key = last").groupBy("key").agg(F.count("*").alias("own"))
         left = classes.join(own.hint("merge"), "key", "left").where(f"coalesce(own, 0) * {den} <= n * {den - num}").select("id", "set_key")
-        left = tmp.save("left", left, large=True)
+        left = tmp.save("left", left)
         sets = docs.hint("merge").join(left.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text", "set_key").distinct().mapInArrow(_full(self.k), "id long, n long, shingles array<long>")
-        sets = tmp.save("sets", sets, large=True)
+        sets = tmp.save("sets", sets)
         # Rarest shared shingles of the sets that can still have a link.
         shingle = sets.select("id", "n", F.explode("shingles").alias("h"))
         often = shingle.groupBy("h").agg(F.count("*").alias("df"), F.min("id").alias("pivot")).where("df > 1")
@@ -233,11 +233,11 @@ class JaccardJoin:
             .select("id", F.explode(F.expr(f"slice(hs, 1, cast(shared - ceil(n * {num} / {den}) + 1 as int))")).alias("r"))
             .select("id", "r.h", "r.pivot")
         )
-        rare = tmp.save("rare", rare, large=True)
+        rare = tmp.save("rare", rare)
         lists = rare.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
         pairs = tmp.save("pairs", rare.join(lists.hint("merge"), "h").select("pivot", "id").distinct())
         used = pairs.select("id").unionByName(pairs.select(F.col("pivot").alias("id"))).distinct()
-        sets = tmp.save("used", sets.join(used.hint("merge"), "id"), large=True)
+        sets = tmp.save("used", sets.join(used.hint("merge"), "id"))
         tmp.drop("left", "sets", "rare")
         # Most sets link with the first pivot they meet. Only neighbourhoods that hold several components after that are split and compared.
         first = pairs.where("pivot <> id").groupBy("id").agg(F.min("pivot").alias("pivot"))
@@ -264,7 +264,7 @@ class JaccardJoin:
 
     def _joined(self, state: DataFrame | None, found: DataFrame, name: str) -> DataFrame:
         """The stars of the components with these links too."""
-        found = self.tmp.save(name, found, large=True)
+        found = self.tmp.save(name, found)
         if state is not None and found.isEmpty():
             return state
         out = stars(found if state is None else state.unionByName(found), self.tmp, f"{name}-")

@@ -217,22 +217,22 @@ class RepeatedPhrases:
         made = tmp.save("seeds", docs.where("doc_id is not null").mapInArrow(_emit(self.window), "doc_id long, text_key long, n int, seeds array<long>"))
         rows = made.select("doc_id", "text_key", "n", F.explode("seeds").alias("h"))
         often = rows.groupBy("h").agg(F.min("doc_id").alias("a"), F.min("text_key").alias("one"), F.max("text_key").alias("two")).where("one < two").select("h", "a")
-        often = tmp.save("often", often, large=True)
+        often = tmp.save("often", often)
         shard = F.pmod(F.xxhash64("a"), F.lit(max(1, ceil(often.count() / PHRASES)))).cast("int")
         met = rows.drop("text_key").join(often.hint("merge"), "h").groupBy("doc_id", shard.alias("shard")).agg(F.max("n").cast("long").alias("n"), F.collect_set(F.when(F.col("doc_id") == F.col("a"), F.col("h"))).alias("own"))
-        met = tmp.save("met", met, large=True)
+        met = tmp.save("met", met)
         parts = tmp.save("parts", met.groupBy("shard").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts")))
         hits = met.join(parts, "shard").groupBy("doc_id").agg(
             F.collect_list(F.struct("shard", "parts")).alias("shards"), F.flatten(F.collect_list("own")).alias("own"), F.max(F.when(F.size("own") > 0, F.col("shard"))).alias("home")
         )
         first = made.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
         copies = dealt(made.select("doc_id", "text_key"), first, "text_key", "doc_id").where("first < doc_id").groupBy("doc_id").agg(F.collect_set("text_key").alias("copies"))
-        known = tmp.save("known", hits.join(copies.hint("merge"), "doc_id", "full"), large=True)
+        known = tmp.save("known", hits.join(copies.hint("merge"), "doc_id", "full"))
         tmp.drop("seeds", "often", "met")
         # What is known grows with the corpus, so it is never broadcast.
         routed = docs.hint("merge").join(known, "doc_id", "left").select("doc_id", "text", "shards", "own", "home", "copies")
         schema = "row long, doc_id long, n_words long, sha string, copy boolean, body binary, shards array<struct<shard:int,parts:int>>, home int, phrases array<binary>"
-        out = tmp.save("bodies", routed.mapInArrow(_bodies(self.window), schema), large=True)
+        out = tmp.save("bodies", routed.mapInArrow(_bodies(self.window), schema))
         tmp.drop("known")
         return out, parts
 
@@ -244,18 +244,18 @@ class RepeatedPhrases:
         texts = bodies.where("body is not null and doc_id is not null").select("row", "doc_id", "body", F.explode("shards").alias("s"))
         texts = texts.select("row", "doc_id", "body", "s.shard", F.pmod(F.xxhash64("row"), F.col("s.parts")).cast("int").alias("part"))
         found = texts.groupBy("shard", "part").cogroup(each.groupBy("shard", "part")).applyInArrow(_scan(self.window), "row long, doc_id long, at array<int>, h array<long>")
-        return tmp.save("located", found, large=True)
+        return tmp.save("located", found)
 
     def run(self, docs: DataFrame) -> DataFrame:
         tmp = self.tmp
         bodies, parts = self.bodies(plain(docs))
         windows = self.located(bodies, parts).select("row", "doc_id", F.explode(F.arrays_zip("at", "h")).alias("w")).select("row", "doc_id", "w.at", "w.h")
-        owner = tmp.save("owner", windows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first"), large=True)
+        owner = tmp.save("owner", windows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first"))
         gone = windows.join(owner.hint("merge"), "h").where("first < doc_id").groupBy("row").agg(F.collect_list("at").alias("gone"))
-        gone = tmp.save("gone", gone, large=True)
+        gone = tmp.save("gone", gone)
         tmp.drop("owner", "located", "phrases", "parts")
         cut = bodies.select("row", "body").where("body is not null").join(gone.hint("merge"), "row")
-        cut = tmp.save("cut", cut.mapInArrow(_cut(self.window), "row long, n_removed long, kept_sha256 string, kept string"), large=True)
+        cut = tmp.save("cut", cut.mapInArrow(_cut(self.window), "row long, n_removed long, kept_sha256 string, kept string"))
         tmp.drop("gone")
         out = bodies.select("row", "doc_id", "n_words", "sha", "copy").join(cut.hint("merge"), "row", "left")
         none = hashlib.sha256(b"").hexdigest()

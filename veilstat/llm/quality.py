@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sample import Adam, bounded, distinct_texts, remainder, temperature
+from .store import Scratch
 from .text import U, mix, run_sums, slices, words
 
 WORDS, SHAPES, DIM = 1 << 14, 1 << 11, 32
@@ -118,6 +119,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 6
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     chosen = F.broadcast(bounded(marks.groupBy("doc_id").agg(F.min("quality").alias("quality")), most))
     rows = distinct_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id"), most)
+    # Written once: both passes below read it, and the driver plans and broadcasts what chooses it once.
+    tmp = Scratch(spark, "quality")
+    rows = tmp.save("sample", rows)
     model = Model(index_vectors(WORDS, 1), index_vectors(SHAPES, 2))
     shared = spark.sparkContext.broadcast(model)
 
@@ -150,6 +154,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 6
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, stop - row), batch.column("quality").slice(row, stop - row), pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "quality", "x"])
 
     got = sorted(rows.select("doc_id", "quality", "text").mapInArrow(pool, "doc_id long, quality int, x binary").collect(), key=lambda r: (r.doc_id, bytes(r.x)))
+    tmp.drop("sample")
     x = np.array([np.frombuffer(bytes(r.x)) for r in got]).reshape(len(got), 2 * DIM)
     return fit(model, x, np.array([r.quality for r in got], float))
 

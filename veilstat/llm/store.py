@@ -7,7 +7,6 @@ running the stages before it. The folder is the session's ``spark.checkpoint.dir
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -88,6 +87,10 @@ def _own_dir(application: str) -> str:
     return root
 
 
+#: Spark's setting by which an execution's shuffle files are removed at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Named Parquet tables of one operator run; ``drop`` removes those that no later stage reads."""
 
@@ -98,12 +101,18 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, name: str, df: DataFrame, large: bool = False) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        if large:
-            # Lets Spark's cleaner take the shuffle files that this table has made superfluous.
-            gc.collect()
-            self.spark._jvm.System.gc()
+    def save(self, name: str, df: DataFrame) -> DataFrame:
+        """Writes the table and reads it again. The shuffle files that it makes superfluous go as soon as it is written.
+
+        Waiting for the driver to collect its garbage would keep them, and asking it to would make its heap grow: the JVM takes
+        the time of such a collection as a sign that it has too little.
+        """
+        conf, before = self.spark.conf, self.spark.conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
