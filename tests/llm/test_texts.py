@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veilstat.llm import quality, langid
 from veilstat.llm.bpe import SLICE, Codec, LibraryEncoder, TrieEncoder, Vocabulary
-from veilstat.llm.components import components
+from veilstat.llm.components import _star, components
 from veilstat.llm.decontaminate import Decontaminator
 from veilstat.llm.jaccard import JaccardJoin
 from veilstat.llm.phrases import RepeatedPhrases, sliding_min
@@ -149,6 +149,27 @@ def test_components_of_a_long_path(spark):
     assert got == {k: 0 for k in range(n + 1)} | {2000: 1999, 1999: 1999}
 
 
+def made_by_generate(plan):
+    """Rows that came out of the Generate nodes of a plan that has run."""
+    kind, total = plan.getClass().getSimpleName(), 0
+    if kind == "GenerateExec":
+        total += plan.metrics().get("numOutputRows").get().value()
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+    it = plan.children().iterator()
+    while it.hasNext():
+        below.append(it.next())
+    return total + sum(map(made_by_generate, below))
+
+
+def test_stars_give_minima_only_to_parts_with_links(spark):
+    """A minimum that went to every part of every node was 16 rows a node; now there are at most as many as links."""
+    edges = spark.createDataFrame([(2 * k + 1, 2 * k) for k in range(500)] + [(k, 5000) for k in range(6000, 6300)], "a long, b long")
+    moved = _star(edges, True)
+    got = sorted(map(tuple, moved.collect()))
+    assert got == sorted([(2 * k + 1, 2 * k) for k in range(500)] + [(k, 5000) for k in range(6000, 6300)])
+    assert 0 < made_by_generate(moved._jdf.queryExecution().executedPlan()) <= 2 * 800
+
+
 def test_pieces_and_codec_match_the_library():
     from tokenizers import Tokenizer
 

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch, dealt, salt
+from .store import Scratch, salt
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One contraction: each node's neighbours move to the smallest of them and itself.
 
     The large star moves the larger neighbours of every node; the small star moves the node and its smaller neighbours.
-    The minimum is a partial aggregate. Its join back deals a node's links by their other end, so that a hub is not one task's.
+    The minimum is a partial aggregate. Its join back deals a node's links by their other end, so that a hub is not one task's; it
+    goes only to the parts that a node's links are in, which for most nodes is one.
     """
     pairs = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = pairs.groupBy("a", salt("b")).agg(F.min("b").alias("m")).groupBy("a").agg(F.min("m").alias("m"))
-    met = dealt(pairs, least.select("a", (F.least("a", "m") if large else F.col("m")).alias("m")), "a", "b")
+    least = pairs.groupBy("a", salt("b")).agg(F.min("b").alias("m")).groupBy("a").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
+    least = least.select("a", (F.least("a", "m") if large else F.col("m")).alias("m"), F.explode("salts").alias("salt"))
+    met = pairs.select("*", salt("b")).join(least.hint("merge"), ["a", "salt"]).drop("salt")
     if large:
         moved = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
